@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import decontaminate, packing, suffixes, tokenfile
 from .store import read
 
 
@@ -16,16 +17,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(read(spark, sf_dir, "documents"), min_words=50).drop("uid")
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10, slop=2)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", "n_items_near")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_planes, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op5_token_planes, op7_decontamination, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
