@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, suffixes, tokenfile
-from .store import read
+from . import chat, decontaminate, licenses, minhash, packing, suffixes, tokenfile, toxicity
+from .store import read, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +21,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(read(spark, sf_dir, "documents"), min_words=50).drop("uid")
 
 
+def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = toxicity.in_fold(5, 0)
+    weights, bias = toxicity.model(docs.where(~held_out), labels.where(~held_out))
+    scored = toxicity.score(docs, weights, bias)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,12 +43,35 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", "n_items_near")
 
 
+def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    stored = table(chat.render(chat.fold(chat.as_log(rows))), "transcripts")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat.parse(stored).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"])))
+    return found.select("doc_id", F.array_join(names, ",").alias("licences"), F.size("sentences").cast("long").alias("n_sentences"), F.size("matches").cast("long").alias("n_matches"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op5_token_planes, op6_minhash_join, op7_decontamination, op9_best_fit_packing)}
+    own = [op2_suffix_dedup, op3_nnpu_toxicity, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
