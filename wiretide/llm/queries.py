@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, minhash, packing, suffixes, tokenfile, toxicity
+from . import chat, decontaminate, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
 from .store import read, table
 
 
@@ -29,6 +29,13 @@ def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = toxicity.in_fold(4, 2)
+    found = langid.predict(docs, langid.learn(docs.where(~held_out)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -70,7 +77,7 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_suffix_dedup, op3_nnpu_toxicity, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
+    own = [op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
     return {f.__name__: f for f in own}
 
 
