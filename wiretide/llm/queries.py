@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
+from . import chat, decontaminate, flac, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
 from .store import read, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.text_features(table(flac.texts_to_flac(read(spark, sf_dir, "documents")), "flac"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(read(spark, sf_dir, "documents"), min_words=50).drop("uid")
 
@@ -77,7 +81,7 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
+    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
     return {f.__name__: f for f in own}
 
 
