@@ -201,3 +201,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     near = F.array_distinct(F.transform("hits", lambda h: h["item_id"]))
     out = found.select("doc_id", "n_words", F.size(words).cast("long").alias("n_hit"), names.alias("items"), F.size(near).cast("long").alias("n_items_near"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The documents without any exact match of a benchmark window, with all their columns."""
+    keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    found = search(table(build_index(keyed.select(F.col("uid").alias("doc_id"), "text")), "postings"), items, size)
+    hit = found.where(F.exists("hits", lambda h: h["kind"] == "phrase")).select(F.col("doc_id").alias("uid"))
+    return keyed.join(hit.distinct(), "uid", "left_anti").select(*docs.columns)

@@ -27,9 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, released: bool = True) -> str:
+    """A fresh place in the shared folder; ``release`` deletes it unless told otherwise."""
     path = f"{shared_dir(spark).rstrip('/')}/wiretide-{uuid.uuid4().hex}/{name}"
-    _LIVE.append(path)
+    if released:
+        _LIVE.append(path)
     return path
 
 
@@ -48,17 +50,18 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "shared_path", None)
         if path in _LIVE:
-            _delete(t.sparkSession, path)
+            delete(t.sparkSession, path)
             _LIVE.remove(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table of this module; call it only when results built on them are stored."""
     while _LIVE:
-        _delete(spark, _LIVE.pop())
+        delete(spark, _LIVE.pop())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a place that ``new_path`` gave."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
