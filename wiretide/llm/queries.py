@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, flac, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
+from .oracles import oracle_sql as oracle_sql
 from .store import read, table
 
 
@@ -49,9 +50,9 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10, slop=2)
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
     digest = F.sha2(F.concat_ws(",", "items"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", "n_items_near")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
 def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,3 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
