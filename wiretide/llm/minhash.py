@@ -21,7 +21,7 @@ from .suffixes import free, with_uid
 from .textbytes import Words, mix, slices, window_hash, window_starts
 
 #: Nodes in a tile.
-TILE = 512
+TILE = 256
 #: Columns of the n-gram matrix that are multiplied at a time.
 COLUMNS = 8192
 
@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
                 data = [grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), pa.array(data, pa.binary())], names=["node", "label", "tiles", "grams"])
 
-    texts = with_uid(docs).select("uid", F.col("text").cast("string")).join(chosen, "uid").select("text", "node", "label", "tiles")
+    # A shuffle at every size: no bound is known for the chosen documents.
+    texts = with_uid(docs).select("uid", F.col("text").cast("string")).join(chosen.hint("merge"), "uid").select("text", "node", "label", "tiles")
     full = table(texts.mapInArrow(sets, "node long, label long, tiles int, grams binary"), "sets")
     free(spark)
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -237,4 +238,4 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     """The first document of each class; equal rows stay once."""
     kept = table(near_duplicates(docs, n, threshold, recall).where("kept").select("uid").distinct(), "kept")
     free(docs.sparkSession)
-    return with_uid(docs).join(kept, "uid").dropDuplicates(["uid"]).select(*docs.columns)
+    return with_uid(docs).join(kept.hint("merge"), "uid").dropDuplicates(["uid"]).select(*docs.columns)
