@@ -208,4 +208,4 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     found = search(table(build_index(keyed.select(F.col("uid").alias("doc_id"), "text")), "postings"), items, size)
     hit = found.where(F.exists("hits", lambda h: h["kind"] == "phrase")).select(F.col("doc_id").alias("uid"))
-    return keyed.join(hit.distinct(), "uid", "left_anti").select(*docs.columns)
+    return keyed.join(hit.distinct().hint("merge"), "uid", "left_anti").select(*docs.columns)

@@ -157,7 +157,7 @@ def contexts(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
 
     lists = kept.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("pos", "key"))).alias("found"))
     texts = with_uid(docs).select("uid", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(lists, "uid").mapInArrow(run, CONTEXT)
+    return texts.join(lists.hint("merge"), "uid").mapInArrow(run, CONTEXT)
 
 
 def links(rows: DataFrame, min_words: int) -> DataFrame:
@@ -286,7 +286,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     free(docs.sparkSession)
     bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform("cut", lambda c: F.array(c["start_char"], c["end_char"]))), F.array(F.length("text")))
     keep = F.transform(F.sequence(F.lit(0), F.size("cut")), lambda i: F.substring("text", F.get(bounds, 2 * i) + 1, F.get(bounds, 2 * i + 1) - F.get(bounds, 2 * i)))
-    rest = with_uid(docs).join(cut, "uid", "left").withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat_ws("", keep)))
+    rest = with_uid(docs).join(cut.hint("merge"), "uid", "left").withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat_ws("", keep)))
     rest = rest.where(F.col("cut").isNull() | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
