@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import free_name, own_columns, table
+from .suffixes import uid_of, with_uid
 from .textbytes import Words, slices
 
 BLOCK_BYTES = 1 << 22
@@ -205,7 +206,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents without any exact match of a benchmark window, with all their columns."""
-    keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    found = search(table(build_index(keyed.select(F.col("uid").alias("doc_id"), "text")), "postings"), items, size)
-    hit = found.where(F.exists("hits", lambda h: h["kind"] == "phrase")).select(F.col("doc_id").alias("uid"))
-    return keyed.join(hit.distinct().hint("merge"), "uid", "left_anti").select(*docs.columns)
+    found = search(table(build_index(with_uid(docs).select(F.col("uid").alias("doc_id"), "text")), "postings"), items, size)
+    key = free_name(docs, "uid")
+    hit = found.where(F.exists("hits", lambda h: h["kind"] == "phrase")).select(F.col("doc_id").alias(key))
+    return docs.withColumn(key, uid_of()).join(hit.distinct().hint("merge"), key, "left_anti").select(*own_columns(docs))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .store import drop, table
-from .suffixes import free, with_uid
+from .store import drop, free_name, own_columns, table
+from .suffixes import free, uid_of, with_uid
 from .textbytes import Words, mix, slices, window_hash, window_starts
 
 #: Nodes in a tile.
@@ -92,8 +92,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 1) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32()), pa.array(band[full].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(node.view(np.int64)), pa.array(size.astype(np.int32)), lists], names=["uid", "doc_id", "node", "n_grams", "bands"])
 
-    rows_in = with_uid(docs).select("uid", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows_in.mapInArrow(run, "uid long, doc_id long, node long, n_grams int, bands array<long>")
+    return with_uid(docs).mapInArrow(run, "uid long, doc_id long, node long, n_grams int, bands array<long>")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -212,7 +211,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), pa.array(data, pa.binary())], names=["node", "label", "tiles", "grams"])
 
     # A shuffle at every size: no bound is known for the chosen documents.
-    texts = with_uid(docs).select("uid", F.col("text").cast("string")).join(chosen.hint("merge"), "uid").select("text", "node", "label", "tiles")
+    texts = with_uid(docs).join(chosen.hint("merge"), "uid").select("text", "node", "label", "tiles")
     full = table(texts.mapInArrow(sets, "node long, label long, tiles int, grams binary"), "sets")
     free(spark)
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -238,4 +237,6 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     """The first document of each class; equal rows stay once."""
     kept = table(near_duplicates(docs, n, threshold, recall).where("kept").select("uid").distinct(), "kept")
     free(docs.sparkSession)
-    return with_uid(docs).join(kept.hint("merge"), "uid").dropDuplicates(["uid"]).select(*docs.columns)
+    key = free_name(docs, "uid")
+    first = docs.withColumn(key, uid_of()).join(kept.withColumnRenamed("uid", key).hint("merge"), key)
+    return first.dropDuplicates([key]).select(*own_columns(docs))

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import drop, table
+from .store import drop, free_name, own_columns, table
 from .textbytes import Words, slices, window_hash, window_starts
 
 #: Preceding suffixes of a class that each suffix is compared with.
@@ -61,8 +61,13 @@ def minimisers(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    """Rows by (doc_id, text): equal rows count as one document."""
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    """uid, doc_id and text; rows with equal doc_id and text are one document."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(uid_of().alias("uid"), doc_id.alias("doc_id"), text.alias("text"))
+
+
+def uid_of() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def anchors(docs: DataFrame, min_words: int) -> DataFrame:
@@ -81,7 +86,7 @@ def anchors(docs: DataFrame, min_words: int) -> DataFrame:
                 text = np.searchsorted(words.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), own.column(0).take(pa.array(text)), pa.array((at - words.first[text]).astype(np.int32))], names=["key", "uid", "pos"])
 
-    return with_uid(docs).select("uid", F.col("text").cast("string")).mapInArrow(run, ANCHOR)
+    return with_uid(docs).select("uid", "text").mapInArrow(run, ANCHOR)
 
 
 def shared(suffixes: DataFrame) -> DataFrame:
@@ -156,8 +161,8 @@ def contexts(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in CONTEXT.split(", ")])
 
     lists = kept.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("pos", "key"))).alias("found"))
-    texts = with_uid(docs).select("uid", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(lists.hint("merge"), "uid").mapInArrow(run, CONTEXT)
+    joined = with_uid(docs).join(lists.hint("merge"), "uid")
+    return joined.select("uid", "doc_id", "text", "found").mapInArrow(run, CONTEXT)
 
 
 def links(rows: DataFrame, min_words: int) -> DataFrame:
@@ -284,10 +289,13 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     cut = table(repeats(docs, min_words).where("later").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("cut")), "cut")
     free(docs.sparkSession)
-    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform("cut", lambda c: F.array(c["start_char"], c["end_char"]))), F.array(F.length("text")))
-    keep = F.transform(F.sequence(F.lit(0), F.size("cut")), lambda i: F.substring("text", F.get(bounds, 2 * i) + 1, F.get(bounds, 2 * i + 1) - F.get(bounds, 2 * i)))
-    rest = with_uid(docs).join(cut.hint("merge"), "uid", "left").withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat_ws("", keep)))
-    rest = rest.where(F.col("cut").isNull() | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    key, spans = free_name(docs, "uid"), free_name(docs, "cut")
+    cut = cut.select(F.col("uid").alias(key), F.col("cut").alias(spans))
+    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda c: F.array(c["start_char"], c["end_char"]))), F.array(F.length("text")))
+    keep = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.substring("text", F.get(bounds, 2 * i) + 1, F.get(bounds, 2 * i + 1) - F.get(bounds, 2 * i)))
+    whole = F.col(spans).isNull()
+    rest = docs.withColumn(key, uid_of()).join(cut.hint("merge"), key, "left").withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(keep, "")))
+    rest = rest.where(whole | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rest.select(*docs.columns)
+        rest = rest.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rest.select(*own_columns(docs))
