@@ -111,11 +111,15 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
     names = sorted(sentences)
-    own = [(len(w.hash), int(w.hash[0]), int(window_hash(w.hash, len(w.hash))[0]), i) for i, n in enumerate(names) if len((w := Words(pa.array([sentences[n]]))).hash)]
     by_size: dict[int, dict[int, int]] = {}
-    for size, _, key, i in own:
-        by_size.setdefault(size, {})[key] = i
-    heads = np.unique(np.array([h for _, h, _, _ in own], np.uint64))
+    heads: dict[int, set[int]] = {1: set(), 2: set()}  # how known sentences begin, by one or two words
+    for i, name in enumerate(names):
+        own = Words(pa.array([sentences[name]])).hash
+        if len(own):
+            by_size.setdefault(len(own), {})[int(window_hash(own, len(own))[0])] = i
+            lead = min(2, len(own))
+            heads[lead].add(int(window_hash(own[:lead], lead)[0]))
+    one, two = (np.array(sorted(heads[k]), np.uint64) for k in (1, 2))
     coded = [(name, licence, [names.index(s) for s in ids]) for name, licence, ids in rules]
     sentence = pa.list_(pa.struct([("id", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
     match = pa.list_(pa.struct([("licence", pa.string()), ("rule", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
@@ -125,13 +129,22 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
             for rows in slices(batch):
                 words = Words(rows.column(1))
                 bound = bounds_before(words)
-                start = np.flatnonzero(bound[:-1] & np.isin(words.hash, heads))
+                start = np.flatnonzero(bound[:-1])
+                pair = np.append(window_hash(words.hash, 2), np.zeros(min(1, len(words.hash)), np.uint64))[start]
+                begins = np.isin(pair, two)
+                if len(one):
+                    begins |= np.isin(window_hash(words.hash[start], 1), one)
+                start = start[begins]
                 text = np.searchsorted(words.first, start, "right") - 1
                 found: dict[int, dict[int, tuple[int, int]]] = {}
                 for size in sorted(by_size):
                     fits = (start + size <= words.first[text + 1]) & bound[np.minimum(start + size, len(bound) - 1)]
-                    for s, t in zip(start[fits].tolist(), text[fits].tolist(), strict=True):
-                        which = by_size[size].get(int(window_hash(words.hash[s : s + size], size)[0]))
+                    at = start[fits]
+                    keys = np.zeros(len(at), np.uint64)
+                    if len(at):
+                        keys = window_hash(words.hash[at[None, :] + np.arange(size)[:, None]].ravel(order="F"), size)[::size]
+                    for s, t, key in zip(at.tolist(), text[fits].tolist(), keys.tolist(), strict=True):
+                        which = by_size[size].get(key)
                         if which is not None:
                             base = int(words.first[t])
                             found.setdefault(t, {})[s - base] = (s - base + size, which)
