@@ -171,3 +171,48 @@ def tls_findings(version: Column, suite: Column) -> Column:
     """What is weak about a server's choice; a suite may have several faults."""
     old = F.when(version < 0x0303, F.lit("legacy_version"))
     return F.filter(F.array(old, *(F.when(suite.isin(ids), F.lit(name)) for name, ids in WEAK_SUITES.items())), lambda x: x.isNotNull())
+
+
+#: File endings by content type.
+EXTENSIONS = {
+    "application/json": "json", "text/html": "html", "text/plain": "txt", "text/css": "css", "text/csv": "csv", "text/xml": "xml", "application/xml": "xml", "application/javascript": "js",
+    "text/javascript": "js", "image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/webp": "webp", "image/svg+xml": "svg", "application/pdf": "pdf", "application/zip": "zip",
+    "application/gzip": "gz", "audio/mpeg": "mp3", "video/mp4": "mp4", "font/woff2": "woff2", "application/wasm": "wasm", "application/x-protobuf": "pb", "application/octet-stream": "bin",
+}
+
+
+def extension(content_type: Column) -> Column:
+    """The ending for a content type with or without parameters; ``bin`` for unknown ones."""
+    plain = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    known = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, plain), F.when(plain.endswith("+json"), "json").when(plain.endswith("+xml"), "xml"), F.lit("bin"))
+
+
+def grpc_call(path: Column) -> Column:
+    """service and method of ``/package.Service/Method``; null for other paths."""
+    fine = path.rlike(r"^/[^/]+/[^/]+$")
+    return F.when(fine, F.struct(F.split_part(path, F.lit("/"), F.lit(2)).alias("service"), F.split_part(path, F.lit("/"), F.lit(3)).alias("method")))
+
+
+def socketio_event(frame: Column) -> Column:
+    """Name of a Socket.IO event frame (``42["name",...]``, with or without namespace and id)."""
+    name = F.regexp_extract(frame, r'^42(?:/[^,]*,)?\d*\["([^"]*)"', 1)
+    return F.when(name != "", name)
+
+
+def ntlm(payload: Column) -> Column:
+    """Message type of the first NTLM message in a payload, and domain, user and host of type 3."""
+    text = F.decode(payload, "ISO-8859-1")
+    at = F.instr(text, "NTLMSSP\0")
+    from .protocols import number
+
+    own = F.substr(payload, at)
+    kind = number(own, 8, 4, little=True).cast("int")
+    wide = F.coalesce(number(own, 60, 4, little=True), F.lit(1)).bitwiseAND(1) == 1
+
+    def field(offset: int) -> Column:
+        size, start = number(own, offset, 2, little=True), number(own, offset + 4, 4, little=True)
+        data = F.substr(own, (start + 1).cast("int"), size.cast("int"))
+        return F.when(kind == 3, F.when(wide, F.decode(data, "UTF-16LE")).otherwise(F.decode(data, "ISO-8859-1")))
+
+    return F.when((at > 0) & kind.isin(1, 2, 3), F.struct(kind.alias("type"), field(28).alias("domain"), field(36).alias("user"), field(44).alias("host")))
