@@ -135,3 +135,62 @@ def test_streams_equal_batches(spark, tmp_path):
     assert seen[max(seen)] == sorted(map(tuple, batch.collect()))
     live.append(live.rates(live.timed(events, "0 seconds"), "1 second", "kind"), str(tmp_path / "out"), str(tmp_path / "c2"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("events")).first()[0] >= 1
+
+
+def test_packet_records(lines):
+    import ipaddress
+    import struct
+
+    from wiretide.operators import packets
+
+    got = {r["ts_ns"]: r["record"] for r in packets.records(flows.payloads(captures.events(lines))).collect()}
+    data = got[3000]
+    sec, usec, size, full = struct.unpack("<IIII", data[:16])
+    assert (sec, usec, size, full) == (1700000000, 180000, len(data) - 16, len(data) - 16) and size == 40 + len(RESPONSE)
+    ip, tcp = data[16:36], data[36:56]
+    assert [str(ipaddress.ip_address(ip[k : k + 4])) for k in (12, 16)] == ["10.0.0.2", "10.0.0.1"]
+    assert struct.unpack(">HHII", tcp[:12]) == (80, 40000, 1, 1 + len(REQUEST)) and data[56:] == RESPONSE
+    assert len(packets.FILE_HEADER) == 24
+
+
+def test_addresses(spark):
+    import ipaddress
+
+    from wiretide.operators import packets
+
+    ips = ["10.0.0.1", "2001:db8::1", "::1", "1:2:3:4:5:6:7:8", "fe80::"]
+    got = spark.createDataFrame([(i,) for i in ips], "ip string").select(packets.address(F.col("ip"))).collect()
+    assert [bytes.fromhex(r[0]) for r in got] == [ipaddress.ip_address(i).packed for i in ips]
+
+
+def test_bodies(spark):
+    import zlib
+
+    from wiretide.operators import bodies
+
+    rows = [(5, "GET", "a.b:80", "/x/y?z", "text/html; charset=x", "GZIP", gzip.compress(b"hi")), (5, "GET", "a", "/d", None, "deflate", zlib.compress(b"yo")), (5, "GET", "a", "/e", "a/b", "gzip", b"damaged"), (5, "GET", "a", "/f", "a/b", None, b""), (5, "GET", "a", "/g", "a/b", None, None)]
+    got = {r["name"]: bytes(r["content"]) for r in bodies.files(spark.createDataFrame(rows, "at_ms long, method string, host string, path string, content_type string, encoding string, body binary")).collect()}
+    assert sorted(got.values()) == [b"damaged", b"hi", b"yo"]
+    assert any(n.startswith("0000000000005_GET_a.b_80__x_y_") and n.endswith(".html") for n in got)
+
+
+def test_stream_pairs(spark, tmp_path):
+    schema = "flow string, id int, ts timestamp_ltz"
+    for name, rows in (("q", [("f", 1, 10), ("f", 2, 20), ("g", 1, 30)]), ("a", [("f", 1, 11), ("f", 2, 900), ("h", 1, 12)])):
+        spark.createDataFrame([(f, i, s) for f, i, s in rows], "flow string, id int, s int").select("flow", "id", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / name))
+    q, a = (spark.readStream.schema(schema).parquet(str(tmp_path / n)).withWatermark("ts", "1 minute") for n in ("q", "a"))
+    live.append(live.paired(q, a, ["flow", "id"], "5 minutes"), str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination()
+    got = [(r["flow"], r["id"], r["response_ts"].second) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [("f", 1, 11)]
+
+
+def test_openapi_and_proto_lines(spark):
+    from wiretide.operators import protobuf, tools
+
+    ends = spark.createDataFrame([("api.x", "/users/{id}", 2)], "host string, template string, calls long")
+    params = spark.createDataFrame([("api.x", "/users/{id}", "id", "path", "integer", True), ("api.x", "/users/{id}", "a", "query", "string", False)], "host string, template string, name string, place string, type string, required boolean")
+    text = "\n".join(r["text"] for r in tools.openapi_lines(ends, params).collect())
+    assert text.index('"/users/{id}":') < text.index('{name: "id", in: path, required: true') < text.index('{name: "a", in: query, required: false')
+    samples = spark.createDataFrame([(1, bytearray(b"\x08\x01")), (2, bytearray(b"\x08\x2a\x12\x02hi")), (3, bytearray(b"\xff"))], "sample int, content binary")
+    fields = protobuf.profile(protobuf.decoded(samples))
+    assert [r["text"] for r in protobuf.proto_lines(fields).collect()] == ['syntax = "proto3";', "message Inferred {", "  int32 field_1 = 1;", "  string field_2 = 2;", "}"]

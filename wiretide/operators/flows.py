@@ -18,7 +18,7 @@ def payloads(events: DataFrame) -> DataFrame:
     own = events.where(F.col("kind").isin("tcp_data", "tls_data") & (F.col("data_b64") != ""))
     flow = F.struct(F.when(F.col("kind") == "tls_data", "tls").otherwise("tcp").alias("layer"), F.col("tgid"), F.when(F.col("kind") == "tls_data", F.col("conn_id")).otherwise(F.col("sock_id")).alias("id"))
     seq = F.col("seq") if "seq" in events.columns else F.lit(0)
-    return own.select(flow.alias("flow"), "ts_ns", "ts_wall_ms", seq.alias("seq"), "direction", "protocol", "dst", "comm", base64_lenient(F.col("data_b64")).alias("data"))
+    return own.select(flow.alias("flow"), "ts_ns", "ts_wall_ms", seq.alias("seq"), "direction", "protocol", "src", "dst", "comm", base64_lenient(F.col("data_b64")).alias("data"))
 
 
 def streams(packets: DataFrame, most: int | None = None) -> DataFrame:

@@ -42,3 +42,17 @@ def append(table: DataFrame, path: str, checkpoint: str, once: bool = False, eve
     """Append finished rows as Parquet, exactly once across restarts."""
     writer = table.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def paired(requests: DataFrame, responses: DataFrame, keys: list[str], within: str = "5 minutes") -> DataFrame:
+    """Requests joined to responses of the same keys that follow in time; both have ``ts`` with a watermark.
+
+    The bound on time lets old rows leave the state. Columns of responses get the prefix ``response_``.
+    """
+    renamed = responses.select(*(F.col(c).alias(f"response_{c}") for c in responses.columns))
+    on = [F.col(k) == F.col(f"response_{k}") for k in keys]
+    later = (F.col("response_ts") >= F.col("ts")) & (F.col("response_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
+    condition = later
+    for c in on:
+        condition = condition & c
+    return requests.join(renamed, condition, "inner").drop(*(f"response_{k}" for k in keys))
