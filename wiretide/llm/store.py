@@ -7,6 +7,8 @@ plans that follow start from a scan. ``release`` deletes what earlier operators
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         if kept.isDefined():
             return kept.get()
         root = tempfile.mkdtemp(prefix="wiretide-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
