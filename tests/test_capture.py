@@ -194,3 +194,35 @@ def test_openapi_and_proto_lines(spark):
     samples = spark.createDataFrame([(1, bytearray(b"\x08\x01")), (2, bytearray(b"\x08\x2a\x12\x02hi")), (3, bytearray(b"\xff"))], "sample int, content binary")
     fields = protobuf.profile(protobuf.decoded(samples))
     assert [r["text"] for r in protobuf.proto_lines(fields).collect()] == ['syntax = "proto3";', "message Inferred {", "  int32 field_1 = 1;", "  string field_2 = 2;", "}"]
+
+
+def der(tag: int, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def make_certificate(subject: str, issuer: str, signature: bytes, bits: int, begin: bytes, end: bytes) -> bytes:
+    named = lambda cn: der(0x30, der(0x31, der(0x30, der(6, b"\x55\x04\x03"), der(0x0C, cn.encode()))))
+    algorithm = der(0x30, der(6, signature), der(5))
+    key = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(5)), der(3, b"\0", der(0x30, der(2, b"\0" + (1 << (bits - 1)).to_bytes(bits // 8, "big")), der(2, b"\1\0\1"))))
+    san = der(0xA3, der(0x30, der(0x30, der(6, b"\x55\x1d\x11"), der(4, der(0x30, der(0x82, b"a.x"), der(0x82, b"b.x"))))))
+    body = der(0x30, der(0xA0, der(2, b"\2")), der(2, b"\5"), algorithm, named(issuer), der(0x30, der(0x17, begin), der(0x17, end)), named(subject), key, san)
+    return der(0x30, body, algorithm, der(3, b"\0sig"))
+
+
+def test_certificates(spark):
+    from wiretide.operators import certificates, enrich
+
+    sha256, sha1 = b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x0b", b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x05"
+    good = make_certificate("api.x", "ca", sha256, 2048, b"250101000000Z", b"251201000000Z")
+    bad = make_certificate("self", "self", sha1, 1024, b"200101000000Z", b"240101000000Z")
+    rows = spark.createDataFrame([(1, good), (2, bad), (3, b"junk"), (4, None), (5, good)], "id int, der binary")
+    read = certificates.parsed(rows)
+    got = {r["id"]: r for r in read.withColumn("odd", certificates.anomalies(F.lit("2025-06-01").cast("timestamp"))).collect()}
+    x = got[1]["x509"]
+    assert (x["subject_cn"], x["issuer_cn"], x["names"], x["rsa_bits"], x["signature"], x["self_signed"]) == ("api.x", "ca", 2, 2048, "1.2.840.113549.1.1.11", False)
+    assert got[1]["odd"] == [] and got[3]["odd"] == [] and got[4]["odd"] == []
+    assert got[2]["odd"] == ["self_signed", "weak_signature", "short_rsa_key", "not_valid_now", "long_validity"]
+    assert certificates.first_of_each(read.where("der is not null")).count() == 3
+    assert {r["id"] for r in enrich.unpinned(read, read.where("id = 1").select("sha256")).where("der is not null").collect()} == {2, 3}
