@@ -177,16 +177,8 @@ def compare(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """Each document with its class and links; classes are connected by similarities of the threshold.
-
-    uid, doc_id, class_id (the least doc_id of the class), n_links (other n-gram sets that are
-    similar enough), n_same (other documents with the same set), class_size, kept (the class's
-    first document by doc_id, then by content). Texts are compared as sets of word n-grams
-    without ASCII case; null and wordless texts are alone in their classes. Equal rows fall in one
-    class and each have a row. A pair at exactly the threshold is found with probability
-    ``recall``, more similar pairs almost surely. Further columns are ignored.
-    """
+def classified(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and each node with its first document, copies, links and class label."""
     spark = docs.sparkSession
     bands, rows = bands_and_rows(threshold, recall)
     signed = table(signatures(docs, n, bands, rows), "signatures")
@@ -225,6 +217,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     marked = nodes.join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = table(marked, "nodes")
+    return signed, marked
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """Each document with its class and links; classes are connected by similarities of the threshold.
+
+    uid, doc_id, class_id (the least doc_id of the class), n_links (other n-gram sets that are
+    similar enough), n_same (other documents with the same set), class_size, kept (the class's
+    first document by doc_id, then by content). Texts are compared as sets of word n-grams
+    without ASCII case; null and wordless texts are alone in their classes. Equal rows fall in one
+    class and each have a row. A pair at exactly the threshold is found with probability
+    ``recall``, more similar pairs almost surely. Further columns are ignored.
+    """
+    signed, marked = classified(docs, n, threshold, recall)
     whole = marked.groupBy("label").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
     named = marked.join(whole, "label").select("node", "links", "copies", "head", "class_size")
     out = signed.select("uid", "doc_id", "node").join(named, "node")
@@ -235,7 +241,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The first document of each class; equal rows stay once."""
-    kept = table(near_duplicates(docs, n, threshold, recall).where("kept").select("uid").distinct(), "kept")
+    _, nodes = classified(docs, n, threshold, recall)
+    kept = table(nodes.groupBy("label").agg(F.min("first").alias("head")).select("head.uid").distinct(), "kept")
     free(docs.sparkSession)
     key = free_name(docs, "uid")
     first = docs.withColumn(key, uid_of()).join(kept.withColumnRenamed("uid", key).hint("merge"), key)
