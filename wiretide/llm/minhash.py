@@ -202,12 +202,12 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float) -> tupl
                 data = [grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), pa.array(data, pa.binary())], names=["node", "label", "tiles", "grams"])
 
-    # A shuffle at every size: no bound is known for the chosen documents.
-    texts = with_uid(docs).join(chosen.hint("merge"), "uid").select("text", "node", "label", "tiles")
+    # A shuffle at every size: no bound is known for the chosen documents. Equal rows leave one set.
+    texts = with_uid(docs).join(chosen.hint("merge"), "uid").dropDuplicates(["uid"]).select("text", "node", "label", "tiles")
     full = table(texts.mapInArrow(sets, "node long, label long, tiles int, grams binary"), "sets")
     free(spark)
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    paired = full.dropDuplicates(["node"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    paired = full.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     paired = paired.select("label", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "grams")
     order = ["label", "low", "high"]
     found = table(paired.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(compare(threshold), "node long, root long, links long"), "links")
