@@ -145,6 +145,52 @@ def test_repeats_equal_brute_force(spark, corpus):
     assert suffixes.repeats(docs.limit(0)).count() == 0
 
 
+def covered_by_order(rows, n):
+    """Words of each document that a document of lower (True) or higher id (False) has too."""
+    where = {}
+    for doc, text in rows:
+        w = words(text)
+        for i in range(len(w) - n + 1):
+            where.setdefault(tuple(w[i : i + n]), []).append((doc, i))
+    out = {}
+    for found in where.values():
+        low, high = min(found)[0], max(found)[0]
+        for doc, i in found:
+            for later in [True] * (low < doc) + [False] * (high > doc):
+                out.setdefault((doc, later), set()).update(range(i, i + n))
+    return out
+
+
+def reported(spans):
+    out = {}
+    for r in spans.collect():
+        assert r["other_id"] != r["doc_id"]
+        out.setdefault((r["doc_id"], r["later"]), set()).update(range(r["start_word"], r["end_word"]))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 300])
+def test_repeats_in_large_classes(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rng = random.Random(5)
+    say = lambda n: [f"v{rng.randrange(100000)}" for _ in range(n)]
+    line, base, texts = say(40), say(200), []
+    texts += [say(15) + line + say(15) for _ in range(400)]
+    for _ in range(40):  # a passage of 54 words in two documents, most of it the line
+        left, right = say(7), say(7)
+        for _ in range(2):
+            texts.append(say(20) + left + line + right + say(20))
+    for _ in range(200):  # edited copies
+        near = list(base)
+        for _ in range(rng.randint(0, 6)):
+            near[rng.randrange(len(near))] = say(1)[0]
+        texts.append(near)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = reported(suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 50))
+    assert got == covered_by_order(rows, 50)
+
+
 def test_cutting_keeps_the_first_and_the_rest(spark, corpus):
     rows, docs = corpus
     left = {r["doc_id"]: r for r in suffixes.without_repeats(docs, 50).collect()}

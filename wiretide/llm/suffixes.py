@@ -3,10 +3,12 @@
 Of all suffixes only those are kept that start at minimiser positions: where the hash of the next
 ``prefix`` words is the least among ``window`` neighbouring positions. Passages of ``min_words``
 words that stand in two documents share such a position with ``prefix`` words to its right, so
-sorting the kept suffixes brings them together. The first sort finds suffixes with an equal
-neighbour from another document; only these get their surrounding words. The second sort compares
-neighbours and extends matches left and right. Rows are range-partitioned by suffix and document,
-so a passage that very many documents share is spread over partitions.
+sorting the kept suffixes brings them together. The first sort finds suffixes with an equal one in
+another document; only these get the hashes of the ``window`` passages of ``min_words`` words around
+their prefix. The second sort brings together the suffixes of equal prefix, and all their passages
+are grouped by hash, so the first and last document of each passage are known however many others
+have the same prefix. Rows are range-partitioned by suffix and document, so a prefix that very many
+documents share is spread over partitions; what a partition can't decide alone is grouped once more.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import drop, free_name, own_columns, table
-from .textbytes import Words, slices, window_hash, window_starts
+from .textbytes import Words, mix, slices, window_hash, window_starts
 
-#: Preceding suffixes of a class that each suffix is compared with.
-NEIGHBOURS = 3
+#: Suffixes that are compared at once; a class with more is decided by the second grouping.
+CHUNK = 1 << 16
 ANCHOR = "key long, uid long, pos int"
 CONTEXT = "uid long, doc_id long, key long, pos int, n_left int, n_right int, around binary, words binary"
-LINK = "uid long, doc_id long, other_id long, first int, last int, later boolean, edge boolean, key long, pos int, n_left int, n_right int, around binary"
+LINK = "uid long, doc_id long, other_id long, first int, last int, later boolean, passage long"
 SPANS = "doc_id long, start_word int, end_word int, start_char int, end_char int, n_words int, later boolean, other_id long, uid long"
 
 
@@ -124,7 +126,7 @@ def shared(suffixes: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
-    """Words around each kept suffix (four bytes a word), and a row of word offsets per document."""
+    """Hashes of the passages around each kept suffix's prefix, and a row of word offsets per document."""
     width, prefix = sizes(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +142,13 @@ def contexts(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
                 pos, key = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
                 text = np.repeat(np.arange(own.num_rows), np.diff(bounds))
                 at = words.first[text] + pos
-                n_left = np.minimum(pos, width)
-                n_right = np.minimum(words.first[text + 1] - at - prefix, width)
-                short = np.concatenate((words.hash.astype(np.uint32), np.zeros(1, np.uint32)))
+                n_left = np.minimum(pos, width - 1)
+                n_right = np.minimum(words.first[text + 1] - at - prefix, width - 1)
+                passage = window_hash(words.hash, min_words)
+                # Item i of a row is the passage with i words before the prefix, 0 where there is none.
                 step = np.arange(width)
-                left = short[np.where(step < n_left[:, None], at[:, None] - 1 - step, len(short) - 1)]
-                right = short[np.where(step < n_right[:, None], at[:, None] + prefix + step, len(short) - 1)]
-                around = np.concatenate((left, right), axis=1).astype("<u4").tobytes()
+                whole = (step <= n_left[:, None]) & (step >= width - 1 - n_right[:, None])
+                around = np.where(whole, passage[np.where(whole, at[:, None] - step, 0)], np.uint64(0)).tobytes() if len(passage) else b""
                 size = 8 * width
                 n = len(pos)
                 blank = pa.nulls(own.num_rows)
@@ -166,62 +168,103 @@ def contexts(docs: DataFrame, kept: DataFrame, min_words: int) -> DataFrame:
 
 
 def links(rows: DataFrame, min_words: int) -> DataFrame:
-    """Matches of at least ``min_words`` words with a preceding suffix of the class, for both documents."""
-    width, prefix = sizes(min_words)
+    """Passages that other documents have too, joined around each suffix's prefix.
+
+    The first and last class of a partition and those of more than ``CHUNK`` suffixes may have more
+    suffixes elsewhere: of these, the passages of the least and greatest document at hand come out
+    by themselves (``passage`` is set) for ``across``. All rows between have both kinds of partner.
+    """
+    width, _ = sizes(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, opening = None, True
+        held, n = [], 0
+        open_keys = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
-            seen = 0 if tail is None else tail.num_rows
-            key, uid = rows.column("key").to_numpy(), rows.column("uid").to_numpy()
-            doc = rows.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-            pos, n_left, n_right = (rows.column(c).to_numpy().astype(np.int64) for c in ("pos", "n_left", "n_right"))
-            around = np.frombuffer(b"".join(rows.column("around").to_pylist()), "<u4").reshape(len(key), 2 * width)
-            best, which, best_left = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-            for back in range(1, NEIGHBOURS + 1):
-                i = np.arange(max(seen, back), len(key))
-                i = i[(key[i] == key[i - back]) & (uid[i] != uid[i - back])]
-                if not len(i):
-                    continue
-                same = around[i] == around[i - back]
-                left = np.minimum(np.cumprod(same[:, :width], axis=1).sum(axis=1), np.minimum(n_left[i], n_left[i - back]))
-                right = np.minimum(np.cumprod(same[:, width:], axis=1).sum(axis=1), np.minimum(n_right[i], n_right[i - back]))
-                total = left + prefix + right
-                more = total > best[i]
-                best[i[more]], which[i[more]], best_left[i[more]] = total[more], i[more] - back, left[more]
-            hit = np.flatnonzero(best >= min_words)
-            other, left, total = which[hit], best_left[hit], best[hit]
-            yield emit(rows, np.concatenate((hit, other)), np.concatenate((doc[other], doc[hit])), np.concatenate((pos[hit] - left, pos[other] - left)), np.concatenate((total, total)), np.concatenate((np.ones(len(hit), bool), np.zeros(len(hit), bool))))
-            if opening:  # rows of the first document, for the rows before this partition
-                run_end = int(np.argmax(np.append((key != key[0]) | (uid != uid[0]), True)))
-                yield edge(rows.slice(0, run_end))
-                opening = False
-            tail = one(rows.slice(max(0, len(key) - NEIGHBOURS)))
-        if tail is not None:
-            yield edge(pa.Table.from_batches([tail]))
-
-    def emit(rows, at, other, first, total, later) -> pa.RecordBatch:
-        n = len(at)
-        null = other == np.iinfo(np.int64).min
-        taken = rows.select(["uid", "doc_id"]).take(pa.array(at))
-        arrays = [taken.column(0).combine_chunks(), taken.column(1).combine_chunks(), pa.array(other, mask=null), pa.array(first, pa.int32()), pa.array(first + total, pa.int32()), pa.array(later), pa.array(np.zeros(n, bool)), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
-        return named(arrays)
-
-    def edge(rows: pa.Table) -> pa.RecordBatch:
-        n = rows.num_rows
-        arrays = [rows.column(c).combine_chunks() for c in ("uid", "doc_id")] + [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(np.ones(n, bool))]
-        return named(arrays + [rows.column(c).combine_chunks() for c in ("key", "pos", "n_left", "n_right", "around")])
-
-    def named(arrays: list) -> pa.RecordBatch:
+            if not open_keys:
+                open_keys.add(batch.column(2)[0].as_py())
+            held.append(batch)
+            n += batch.num_rows
+            if n < CHUNK:
+                continue
+            rows = one(pa.Table.from_batches(held))
+            key = rows.column(2).to_numpy()
+            head = int(np.searchsorted(key, key[-1]))
+            if not head:
+                open_keys.add(int(key[-1]))
+                head = n
+            yield from compare(rows.slice(0, head), open_keys)
+            held = [one(pa.Table.from_batches([rows.slice(head)]))] if head < n else []
+            n -= head
+        if held:
+            rows = one(pa.Table.from_batches(held))
+            yield from compare(rows, open_keys | {rows.column(2)[n - 1].as_py()})
+
+    def compare(rows: pa.RecordBatch, open_keys: set) -> Iterator[pa.RecordBatch]:
+        uid, doc_id, key, pos, n_left, n_right, around = rows.columns
+        key, pos, n_left, n_right = (c.to_numpy().astype(np.int64) for c in (key, pos, n_left, n_right))
+        who, doc = uid.to_numpy(), doc_id.fill_null(np.iinfo(np.int64).min).to_numpy()
+        step = np.arange(width)
+        whole = ((step <= n_left[:, None]) & (step >= width - 1 - n_right[:, None])).ravel()
+        passage = (np.frombuffer(b"".join(around.to_pylist()), "<u8").reshape(-1, width) ^ mix(key.view(np.uint64))[:, None]).ravel()
+        at = np.flatnonzero(whole)
+        at = at[np.argsort(passage[at], kind="stable")]  # rows ascend by document within a class
+        row, found = at // width, passage[at]
+        heads = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        size = np.diff(np.append(heads, len(at)))
+        least, most = np.repeat(row[heads], size), np.repeat(row[heads + size - 1], size)
+        for later, partner in ((True, least), (False, most)):
+            shared_by, other = np.zeros(len(whole), bool), np.full(len(whole), np.iinfo(np.int64).max)
+            shared_by[at] = who[partner] != who[row]
+            other[at] = np.where(shared_by[at], doc[partner], other[at])
+            shared_by, other = shared_by.reshape(-1, width), other.reshape(-1, width)
+            hit = np.flatnonzero(shared_by.any(axis=1))
+            before = width - 1 - np.argmax(shared_by[hit, ::-1], axis=1)
+            least_before = np.argmax(shared_by[hit], axis=1)
+            yield named(rows, hit, other[hit].min(axis=1), pos[hit] - before, pos[hit] - least_before + min_words, later, None)
+        bound = np.flatnonzero(np.isin(key[row], np.array(sorted(open_keys), np.int64)) & ((who[row] == who[least]) | (who[row] == who[most])))
+        if len(bound):  # overlapping occurrences of a passage in one document are one row
+            own = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (who[1:] != who[:-1]))))[row[bound]]
+            first, of = pos[row[bound]] - at[bound] % width, np.repeat(np.arange(len(heads)), size)[bound]
+            order = np.lexsort((first, own, of))
+            own, first, of = own[order], first[order], of[order]
+            fresh = np.concatenate(([True], (of[1:] != of[:-1]) | (own[1:] != own[:-1]) | (first[1:] >= first[:-1] + min_words)))
+            head, tail = np.flatnonzero(fresh), np.flatnonzero(np.append(fresh[1:], True))
+            chosen = bound[order[head]]
+            yield named(rows, row[chosen], None, first[head], first[tail] + min_words, None, found[chosen].view(np.int64))
+
+    def named(rows, row, other, first, last, later, passage) -> pa.RecordBatch:
+        taken = pa.Table.from_batches([rows.select(["uid", "doc_id"])]).take(pa.array(row))
+        n = len(row)
+        arrays = [
+            taken.column(0).combine_chunks(),
+            taken.column(1).combine_chunks(),
+            pa.nulls(n, pa.int64()) if other is None else pa.array(other, mask=other == np.iinfo(np.int64).min),
+            pa.array(first, pa.int32()),
+            pa.array(last, pa.int32()),
+            pa.nulls(n, pa.bool_()) if later is None else pa.array(np.full(n, later)),
+            pa.nulls(n, pa.int64()) if passage is None else pa.array(passage),
+        ]
         arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in LINK.split(", ")])
 
     return rows.mapInArrow(run, LINK)
 
 
+def across(found: DataFrame) -> DataFrame:
+    """Links of the passages that partitions and chunks of ``links`` left open."""
+    same = Window.partitionBy("passage")
+    who = F.struct("doc_id", "uid")
+    ends = found.where("passage is not null").withColumn("least", F.min(who).over(same)).withColumn("most", F.max(who).over(same))
+    ends = table(ends.where("least.uid != uid or most.uid != uid"), "ends")
+
+    def side(end: str, later: bool) -> DataFrame:
+        return ends.where(f"{end}.uid != uid").select("uid", "doc_id", F.col(f"{end}.doc_id").alias("other_id"), "first", "last", F.lit(later).alias("later"), "passage")
+
+    return side("least", True).unionByName(side("most", False))
+
+
 def merged(found: DataFrame, min_words: int) -> DataFrame:
     """Overlapping matches of a document become one span; apart for first and later occurrences."""
     own = Window.partitionBy("uid", "later").orderBy("first", "last")
@@ -252,10 +295,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     rows = around.where("key is not null").drop("words")
     found = table(links(rows.repartitionByRange(*order).sortWithinPartitions(*order), min_words), "links")
     free(spark)
-    # A few rows from each partition's ends meet here; full ones were compared before.
-    edges = found.where("edge").select("uid", "doc_id", "key", "pos", "n_left", "n_right", "around")
-    across = links(edges.coalesce(1).sortWithinPartitions(*order), min_words).where("not edge")
-    spans = merged(found.where("not edge").unionByName(across), min_words)
+    spans = merged(found.where("passage is null").unionByName(across(found)), min_words)
     lists = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last", "later", "other_id"))).alias("spans"))
     offsets = around.where("words is not null").dropDuplicates(["uid"]).select("uid", "doc_id", "words")
     return lists.join(offsets, "uid").select("uid", "doc_id", "words", "spans").mapInArrow(_places, SPANS)
