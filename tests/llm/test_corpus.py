@@ -191,6 +191,19 @@ def test_repeats_in_large_classes(spark, monkeypatch, chunk):
     assert got == covered_by_order(rows, 50)
 
 
+@pytest.mark.parametrize("often_first", [False, True])
+def test_repeats_many_times_in_one_document(spark, often_first):
+    rng = random.Random(8)
+    say = lambda n: [f"v{rng.randrange(100000)}" for _ in range(n)]
+    passage = say(60)
+    once, often = say(20) + passage + say(20), [w for _ in range(5) for w in say(20) + passage]
+    rows = [(i, " ".join(t)) for i, t in enumerate([often, once] if often_first else [once, often])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = reported(suffixes.repeats(docs, 50))
+    assert got == covered_by_order(rows, 50)
+    assert {k: len(v) for k, v in got.items()} == ({(0, False): 300, (1, True): 60} if often_first else {(0, False): 60, (1, True): 300})
+
+
 def test_cutting_keeps_the_first_and_the_rest(spark, corpus):
     rows, docs = corpus
     left = {r["doc_id"]: r for r in suffixes.without_repeats(docs, 50).collect()}
