@@ -268,23 +268,81 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     rows += [(900, None, 0), (901, "", 0), (902, "vile " * 30000, 0), (902, "vile " * 30000, 0), (None, "w1", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
     marks = spark.createDataFrame(labels + labels[:5] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    weights, bias = toxicity.model(docs, marks)
-    got = toxicity.score(docs, weights, bias).collect()
+    model = toxicity.model(docs, marks)
+    got = toxicity.score(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     truth = {r[0]: bool({"vile", "foul", "nasty"} & set(words(r[1]))) for r in rows}
     assert sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
-    kept = toxicity.accepted(docs, weights, bias)
+    kept = toxicity.accepted(docs, model)
     assert kept.columns == docs.columns and all(r["score"] >= 0.5 for r in got if r["doc_id"] is not None and r["doc_id"] not in {x["doc_id"] for x in kept.collect()})
     none = toxicity.model(docs, marks.limit(0))
-    assert not none[0].any() and toxicity.score(docs.limit(0), *none).count() == 0
+    assert not len(none.terms) and toxicity.score(docs.limit(0), none).count() == 0
+    assert all(r["score"] < 0.5 for r in toxicity.score(docs, none).collect())
 
 
-def test_nonnegative_risk_reverses():
+@pytest.mark.parametrize("share", [0.5, 0.15])
+def test_toxicity_needs_few_of_the_positives(spark, share):
+    """Toxic words are an open family of forms of two stems; most toxic texts have no label or a label 0."""
+    rng = random.Random(5)
+    syllable = [c + v for c in "bdfgklmnprst" for v in "aeiou"]
+    say = lambda stem="": stem + "".join(rng.choice(syllable) for _ in range(rng.randint(2, 4)))
+    rows, truth, labels = [], [], []
+    for i in range(2400):
+        text = [say() for _ in range(60)]
+        truth.append(rng.random() < 0.2)
+        if truth[-1]:
+            for at in rng.sample(range(60), 3):
+                text[at] = say(rng.choice(["zwix", "quoj"]))
+        rows.append((i, " ".join(text)))
+        if i % 2:
+            labels.append((i, int(truth[-1] and rng.random() < share)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score(docs, toxicity.model(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    caught = [r["score"] >= 0.5 for r in got if truth[r["doc_id"]]]
+    alarms = [r["score"] >= 0.5 for r in got if not truth[r["doc_id"]]]
+    assert sum(caught) >= 0.9 * len(caught) and sum(alarms) <= 0.02 * len(alarms)
+
+
+def test_toxicity_terms_against_python():
     import numpy as np
+    import pyarrow as pa
+
+    texts = ["Ein Wort, ein wort!", "", None, "żółw aa aa b", "x" * 20000]
+    terms, (has,) = toxicity.frequencies(pa.array(texts), [np.ones(5, np.int64)])
+    sets = []
+    for t in texts:
+        own = set()
+        for w in (found := words((t or "").lower())):
+            raw = b" " + w.encode() + b" "
+            own |= {raw[i : i + n] for n in toxicity.PIECES for i in range(len(raw) - n + 1)} | {("word", w)}
+        sets.append(own | set(zip(found, found[1:])))
+    assert len(terms) == len(set().union(*sets)) and has.sum() == sum(map(len, sets))
+    text, place, count, size = toxicity.entries(pa.array(texts), terms)
+    assert np.bincount(text, minlength=5).tolist() == [len(s) for s in sets] and size.tolist() == [len(words(t)) for t in texts]
+    assert set(count[text == 4].tolist()) == {1}
+    assert sorted(count[text == 3].tolist())[-1] == 2
+
+
+def test_nonnegative_risk():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
 
-    p, u = np.eye(4)[[0, 0, 1]], np.eye(4)[[2, 3, 2, 3, 0]]
-    w, b = toxicity.train(p, u, 0.9, toxicity.Fit(epochs=30, batch=5))
-    assert np.isfinite(w).all() and w[0] + b > w[2] + b
+    def some(n):
+        per = rng.integers(0, 4, n)
+        text = np.repeat(np.arange(n), per)
+        return toxicity.Rows.of(n, text, rng.integers(0, 5, len(text)), rng.integers(1, 9, len(text)), rng.integers(9, 99, n))
+
+    p, u = some(6), some(9)
+    w = rng.normal(size=11)
+    positive, negative, up, down = toxicity.risk(w, p, u, 0.3)
+    for k in range(11):
+        step = np.eye(11)[k] * 1e-6
+        high, low = toxicity.risk(w + step, p, u, 0.3), toxicity.risk(w - step, p, u, 0.3)
+        assert abs((high[0] - low[0]) / 2e-6 - up[k]) < 1e-6 and abs((high[1] - low[1]) / 2e-6 - down[k]) < 1e-6
+    # With a prior far too high the risk of the negative class falls below zero; the fit stays finite.
+    w = toxicity.train(p, u, 0.9, 5, toxicity.Fit(epochs=50, batch=5))
+    assert np.isfinite(w).all() and (w[:-1] >= 0).all()
 
 
 def test_language_models(spark):

@@ -48,8 +48,8 @@ def test_stages(spark, folder, tmp_path):
         kept = sorted((tuple(r) for r in after), key=str)
         if name == "toxicity":
             train = ~toxicity.in_fold(5, 0)
-            weights, bias = toxicity.model(spark.read.parquet(f"{sf_dir}/documents.parquet").where(train), spark.read.parquet(f"{sf_dir}/labels.parquet").where(train))
-            fine = {r["doc_id"] for r in toxicity.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights, bias).collect() if r["score"] < 0.5}
+            model = toxicity.model(spark.read.parquet(f"{sf_dir}/documents.parquet").where(train), spark.read.parquet(f"{sf_dir}/labels.parquet").where(train))
+            fine = {r["doc_id"] for r in toxicity.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).collect() if r["score"] < 0.5}
             assert kept == sorted((tuple(r) for r in before if r["doc_id"] in fine), key=str)
             assert not {r["doc_id"] for r in after if "vile" in words(r["text"])} and len(after) == len(before) - 40
         elif name == "near duplicates":

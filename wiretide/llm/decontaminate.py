@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .store import free_name, own_columns, table
 from .suffixes import uid_of, with_uid
-from .textbytes import Words, slices
+from .textbytes import distinct, Words, slices
 
 BLOCK_BYTES = 1 << 22
 #: Windows searched in one pass over the index, about; a pass broadcasts some 6 MB at most.
@@ -99,7 +99,7 @@ class Pass:
             terms = np.frombuffer(b"".join(own), np.uint64).reshape(len(own), length // 8)
             of = [by[t] for t in own]
             self.groups.append((terms, np.array([i for x in of for i in x]), np.concatenate(([0], np.cumsum([len(x) for x in of])))))
-        self.vocabulary = np.unique(np.concatenate([g[0].ravel() for g in self.groups])) if self.groups else np.zeros(0, np.uint64)
+        self.vocabulary = distinct(np.concatenate([g[0].ravel() for g in self.groups])) if self.groups else np.zeros(0, np.uint64)
         self.groups = [(np.searchsorted(self.vocabulary, t), i, f) for t, i, f in self.groups]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .graphs import components
 from .store import drop, free_name, own_columns, table
 from .suffixes import free, uid_of, with_uid
-from .textbytes import Words, mix, slices, window_hash, window_starts
+from .textbytes import Words, distinct, mix, slices, window_hash, window_starts
 
 #: Nodes in a tile.
 TILE = 256
@@ -55,7 +55,7 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             parts.append(window_hash(words.hash, size)[words.first[short]])
             texts.append(short)
     text = np.concatenate(texts).astype(np.uint64)
-    whole = np.unique((text << np.uint64(48)) | (np.concatenate(parts) >> np.uint64(16)))
+    whole = distinct((text << np.uint64(48)) | (np.concatenate(parts) >> np.uint64(16)))
     bounds = np.searchsorted(whole, np.arange(words.n + 1, dtype=np.uint64) << np.uint64(48))
     return whole & np.uint64((1 << 48) - 1), bounds
 

@@ -29,8 +29,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = toxicity.in_fold(5, 0)
-    weights, bias = toxicity.model(docs.where(~held_out), labels.where(~held_out))
-    scored = toxicity.score(docs, weights, bias)
+    scored = toxicity.score(docs, toxicity.model(docs.where(~held_out), labels.where(~held_out)))
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

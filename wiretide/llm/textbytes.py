@@ -43,6 +43,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; one sort, which is many times as fast here as hashing them."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A plain UTF-8 column without nulls (null: empty)."""
     if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
