@@ -19,8 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from labels outside the held-out fold."""
     release(spark)
     train = ~toxicity.in_fold(5, 0)
-    weights, bias = toxicity.model(docs.where(train), read(spark, sf_dir, "labels").where(train))
-    return toxicity.accepted(docs, weights, bias, limit=0.5)
+    return toxicity.accepted(docs, toxicity.model(docs.where(train), read(spark, sf_dir, "labels").where(train)), limit=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
