@@ -62,12 +62,22 @@ def test_ids_equal_the_library(encoder, column):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     ids, counts = encoder.encode(pa.array(column, pa.string()))
     parts = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
     assert [p.tolist() for p in parts] == [plain.encode(t or "", add_special_tokens=False).ids for t in column]
 
 
+def test_strings_of_added_tokens_equal_the_library(encoder):
+    from tokenizers import Tokenizer
+
+    plain, token = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>"
+    column = ["plain words", f"a {token} b", None, token, f"{token}{token} é", "", token[:5], token[5:], f"x{token[:-1]}", f"{token}'s " * 5000, "last"]
+    ids, counts = encoder.encode(pa.array(column, pa.string()))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in column]
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert plain.token_to_id(token) in want[1]
+
+
 def test_other_pretokenizers_use_the_library():
     own = Encoder(tokenizer_path("word_bpe_49k.json"))
     assert own.plain

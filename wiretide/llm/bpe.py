@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .textbytes import flat, hash_spans
 
@@ -89,7 +90,11 @@ def pretoken_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts; special tokens' strings are ordinary text."""
+    """Ids of whole texts, as the library gives them without special tokens around a text.
+
+    A text in which an added token's string stands, such as ``<|endoftext|>``, has that token's id
+    there; these texts are left to the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -97,8 +102,9 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         self.plain = not (spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
-        self.library = Tokenizer.from_file(path)
+        self.library, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
         if not self.plain:
             self.letters = byte_letters()
             # Byte 0 parts the joined pre-tokens and shows in the ids where one ends.
@@ -153,14 +159,43 @@ class Encoder:
         place[order] = np.searchsorted(self.keys, known[order])
         return place
 
+    def holders(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The texts that hold the string of an added token."""
+        data, found = raw.tobytes(), set()
+        for token in self.added:
+            place = data.find(token)
+            while place >= 0:
+                text = int(np.searchsorted(at, place, "right")) - 1
+                if place + len(token) <= at[text + 1]:
+                    found.add(text)
+                    place = data.find(token, int(at[text + 1]))
+                else:
+                    place = data.find(token, place + 1)
+        return np.array(sorted(found), np.int64)
+
+    def with_special(self, column: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` where some texts go through the library."""
+        texts = column.take(pa.array(special)).to_pylist()
+        mask = np.zeros(len(column), bool)
+        mask[special] = True
+        ids, counts = self.encode(pc.if_else(pa.array(mask), pa.scalar("", column.type), column))
+        got = [np.array(self.whole.encode(x, add_special_tokens=False).ids, np.uint32) for x in texts]
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, own in zip(special.tolist(), got, strict=True):
+            parts[i], counts[i] = own, len(own)
+        return np.concatenate(parts), counts
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts, and the number of ids of each text."""
-        raw, at = flat(column)
         if self.plain:
-            got = [e.ids for e in self.library.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+            got = [e.ids for e in self.whole.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
             return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
         import pandas as pd
 
+        raw, at = flat(column)
+        special = self.holders(raw, at)
+        if len(special):
+            return self.with_special(column, special)
         starts = pretoken_starts(raw, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
