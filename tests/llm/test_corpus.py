@@ -100,6 +100,13 @@ def test_components(spark):
     got = {r[0]: r[1] for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    stars = spark.createDataFrame(edges + [(b, b) for _, b in edges], "node long, head long")
+    got = {r[0]: r[1] for r in graphs.star_components(stars).collect()}
+    classes = {}
+    for x in root:
+        classes.setdefault(find(x), set()).add(got[x])
+    assert set(got) == set(root) and all(len(c) == 1 for c in classes.values()) and len(set(got.values())) == len(classes)
+    assert graphs.star_components(stars.limit(0)).count() == 0
 
 
 def covered(rows, n):

@@ -28,3 +28,18 @@ def components(edges: DataFrame) -> DataFrame:
         if not moved:
             drop(both)
             return labels.select("node", "label")
+
+
+def star_components(stars: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of stars (node, head), of which a node has a bounded number.
+
+    A node that is a head anywhere has itself among its heads. Each node keeps its least head, and its further heads
+    are linked to that one: only distinct pairs of heads go through the rounds of ``components``,
+    however many nodes share them.
+    """
+    own = table(stars.groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads")), "stars")
+    first = F.element_at("heads", 1)
+    pairs = own.select(first.alias("a"), F.explode(F.slice("heads", 2, F.size("heads"))).alias("b")).distinct()
+    labels = components(pairs).withColumnRenamed("node", "first")
+    nodes = own.select("node", first.alias("first"))
+    return nodes.join(labels, "first", "left").select("node", F.coalesce("label", "first").alias("label"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import components
+from .graphs import star_components
 from .store import drop, free_name, own_columns, table
 from .suffixes import free, uid_of, with_uid
 from .textbytes import Words, distinct, mix, slices, window_hash, window_starts
@@ -187,8 +187,7 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float) -> tupl
     firsts = signed.where("n_grams > 0").groupBy("node").agg(F.min_by("bands", "uid").alias("bands"), F.min("uid").alias("uid"))
     spread = table(firsts.select("node", "uid", F.explode("bands").alias("band")), "bands")
     heads = spread.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = spread.join(heads, "band").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    grouped = components(stars)
+    grouped = table(star_components(spread.join(heads, "band").select("node", "head")), "grouped")
     size = grouped.groupBy("label").agg(F.count("*").alias("size"))
     chosen = grouped.join(size, "label").join(firsts.select("node", "uid"), "node")
     chosen = table(chosen.select("uid", "node", "label", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "chosen")
@@ -214,7 +213,7 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float) -> tupl
     drop(full, chosen)
     free(spark)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = star_components(found.select("node", F.col("root").alias("head")))
     marked = nodes.join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = table(marked, "nodes")
     return signed, marked
