@@ -24,7 +24,8 @@ from .textbytes import Words, distinct, mix, slices, strings
 
 #: Bytes of the word pieces, whose words have a blank on either side.
 PIECES = (3, 4, 5, 6)
-SLICE = 1 << 20
+#: Bytes of the texts that are taken apart at once; a worker keeps what the largest slice needed.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
