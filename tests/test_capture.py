@@ -115,6 +115,14 @@ def test_small_decoders(spark):
     assert list(got)[9:] == [None, True, False, True]
 
 
+def test_secrets_are_masked_and_urls_decoded_in_part(spark):
+    auth = b"*2\r\n$4\r\nauth\r\n$7\r\nhunter2\r\n*5\r\n$5\r\nHELLO\r\n$1\r\n3\r\n$4\r\nAUTH\r\n$1\r\nu\r\n$7\r\nhunter2\r\n*2\r\n$3\r\nGET\r\n$4\r\nAUTH\r\n"
+    web = b"GET / HTTP/1.1\r\nHost: h\r\nAuthorization: Basic aHVudGVyMg==\r\ncookie: a=hunter2\r\n\r\n"
+    redis, http, text = spark.range(1).select(P.redis_commands(F.lit(auth)), P.http1_requests(F.lit(web)), X.url_decoded(F.lit("a%20b%zz+c%"))).first()
+    assert redis == ["auth", "HELLO 3 AUTH u <redacted>", "GET AUTH"] and text == "a b%zz c%"
+    assert [tuple(h) for h in http[0]["headers"]] == [("Host", "h"), ("Authorization", "<redacted>"), ("cookie", "<redacted>")]
+
+
 def test_edges_keep_first_label_and_last_protocol(spark):
     rows = [(1, "p", True, 5, 0, "http1", None, 1, 1), (1, "p", True, 5, 2, None, "a", 2, 2), (1, "p", False, 0, 0, "tls", "b", 3, 3), (2, "q", False, 0, 0, None, None, 1, 4)]
     table = spark.createDataFrame(rows, "pid int, peer string, is_call boolean, tx long, rx long, protocol string, label string, ts int, seq int")

@@ -88,11 +88,15 @@ def http1_responses(data: Column) -> Column:
     return F.transform(heads, lambda h: F.struct(line(h, 1).cast("int").alias("status"), line(h, 2).alias("reason"), headers(h).alias("headers")))
 
 
+#: Headers whose values are never shown.
+REDACTED_HEADERS = ("authorization", "cookie", "set-cookie", "proxy-authorization")
+
+
 def headers(head: Column) -> Column:
-    """Name and value of each header line after the first, in order."""
+    """Name and value of each header line after the first, in order; values that carry credentials are masked."""
     lines = F.regexp_extract_all(head, F.lit(r"\r\n([^:\r\n]+):[ \t]*([^\r\n]*)"), F.lit(0))
     part = lambda x, k: F.regexp_extract(x, r"\r\n([^:\r\n]+):[ \t]*([^\r\n]*)", k)
-    return F.transform(lines, lambda x: F.struct(part(x, 1).alias("name"), part(x, 2).alias("value")))
+    return F.transform(lines, lambda x: F.struct(part(x, 1).alias("name"), F.when(F.lower(F.trim(part(x, 1))).isin(*REDACTED_HEADERS), "<redacted>").otherwise(part(x, 2)).alias("value")))
 
 
 #: DNS record types by number.
@@ -125,10 +129,19 @@ def dns_question(data: Column) -> Column:
 
 
 def redis_commands(data: Column) -> Column:
-    """Arrays of bulk strings in a client's bytes, words separated by a space."""
+    """Arrays of bulk strings in a client's bytes, words separated by a space.
+
+    ``AUTH`` comes without its arguments, and the password of ``HELLO ... AUTH user password`` is masked.
+    """
     found = F.regexp_extract_all(latin1(data), F.lit(r"(?s)\*\d+\r\n(?:\$\d+\r\n[^\r]*\r\n)+"), F.lit(0))
     words = lambda c: F.regexp_extract_all(c, F.lit(r"\$\d+\r\n([^\r]*)\r\n"), F.lit(1))
-    return F.transform(found, lambda c: F.array_join(words(c), " "))
+
+    def shown(w: Column) -> Column:
+        name = F.upper(F.get(w, F.lit(0)))
+        hello = F.transform(w, lambda x, i: F.when((i >= 3) & (F.upper(F.get(w, i - 2)) == "AUTH"), "<redacted>").otherwise(x))
+        return F.when(name == "AUTH", F.slice(w, 1, 1)).when(name == "HELLO", hello).otherwise(w)
+
+    return F.transform(found, lambda c: F.array_join(shown(words(c)), " "))
 
 
 def protobuf_varint(data: Column, at: int = 0) -> Column:

@@ -34,8 +34,8 @@ def base64_strict(text: Column) -> Column:
 
 
 def url_decoded(text: Column) -> Column:
-    """Percent and plus decoding; a malformed text stays as it is."""
-    return F.coalesce(F.try_url_decode(text), text)
+    """Percent and plus decoding; a percent sign without two hex digits stays as it is."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
 
 
 def one_line(text: Column) -> Column:
