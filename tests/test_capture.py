@@ -123,6 +123,66 @@ def test_secrets_are_masked_and_urls_decoded_in_part(spark):
     assert [tuple(h) for h in http[0]["headers"]] == [("Host", "h"), ("Authorization", "<redacted>"), ("cookie", "<redacted>")]
 
 
+def test_http_walks_by_length(spark):
+    fake = b"GET /no HTTP/1.1\r\nHost: x\r\n\r\n"
+    asked = b"junk" + b"POST /a HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % len(fake) + fake + b"PUT /b HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nGET\r\n1;a=b\r\n \r\n0\r\n\r\nGET /c HTTP/1.1\r\n\r\nHEAD /cut HTTP/1.1\r\nA: b\r\n"
+    said = b"HTTP/1.1 204 No Content\r\n\r\nHTTP/1.1 200 OK\r\ncontent-length: 17\r\n\r\nHTTP/1.1 500 No\r\nHTTP/1.1 200\r\nTransfer-Encoding: gzip, Chunked\r\n\r\n2\r\nok\r\n0\r\nT: u\r\n\r\nHTTP/1.0 200 OK\r\n\r\nto the end"
+    own = spark.createDataFrame([(asked, said), (b"", b""), (None, None)], "a binary, b binary")
+    got = own.select(P.http1_requests(F.col("a")).alias("a"), P.http1_responses(F.col("b")).alias("b")).collect()
+    assert [(r["method"], r["target"], r["body"]) for r in got[0]["a"]] == [("POST", "/a", fake.decode()), ("PUT", "/b", "GET "), ("GET", "/c", "")]
+    assert [(r["status"], r["body"]) for r in got[0]["b"]] == [(204, ""), (200, "HTTP/1.1 500 No\r\n"), (200, "ok"), (200, "to the end")]
+    assert tuple(got[1]) == ([], []) and tuple(got[2]) == (None, None)
+
+
+def test_redis_reads_by_length(spark):
+    data = b"*2\r\n$3\r\nGET\r\n$4\r\na\r\nb\r\n+junk\r\n*1\r\n$4\r\nPING\r\n*2\r\n$3\r\nGET\r\n$99\r\ncut"
+    own = spark.createDataFrame([(data,), (b"",), (b"*999999999\r\n$1\r\na\r\n",), (None,)], "d binary")
+    assert [r[0] for r in own.select(P.redis_commands(F.col("d"))).collect()] == [["GET a\r\nb", "PING"], [], [], None]
+
+
+def test_addresses_of_both_families(spark):
+    keys = {"::": "0" * 32, "::1": "0" * 31 + "1", "1.2.3.4": "0" * 20 + "ffff01020304", "::ffff:1.2.3.4": "0" * 20 + "ffff01020304", "2001:DB8::a:0:1": "20010db8000000000000000a00000001", "1:2:3:4:5:6:7:8": "00010002000300040005000600070008"}
+    bad = ["1:2:3", "::1::", "1:2:3:4:5:6:7:8:9", "12345::", "x", "1.2.3.400", "", "1:2:3:4::5:6:7:8", ":1:2:3:4:5:6:7"]
+    own = spark.createDataFrame([(k,) for k in [*keys, *bad]], "ip string")
+    got = {r[0]: r[1] for r in own.select("ip", X.ip_key(F.col("ip"))).collect()}
+    assert got == keys | dict.fromkeys(bad)
+    hits = [r[0] for r in own.where(X.in_cidr(F.col("ip"), "2001:db8::/32") | X.in_cidr(F.col("ip"), "1.2.0.0/16")).collect()]
+    assert sorted(hits) == ["1.2.3.4", "2001:DB8::a:0:1", "::ffff:1.2.3.4"]
+
+
+def test_json_bodies(spark):
+    from wiretide.operators import endpoints
+
+    rows = ['{"name":"a","age":1,"note":"7"}', '{"name":"b","age":2,"admin":true,"id":"123e4567-e89b-12d3-a456-426614174000","password":{"x":1}}', "no", None, '[{"a":1.5},{"a":null}]', '"text"', '{"name":"c","age":9999999999999999999}']
+    own = spark.createDataFrame([("k", r) for r in rows], "k string, body string")
+    nodes = endpoints.json_nodes(own, ["k"], "body")
+    got = {r["path"]: (r["type"], r["samples"], r["required"], r["example"]) for r in endpoints.json_schema_tree(nodes, ["k"]).collect()}
+    assert got["$.name"] == ("string", 3, True, "c") and got["$.age"][:3] == ("integer", 3, True) and got["$.admin"] == ("boolean", 1, False, "true")
+    assert got["$.id"][0] == "uuid" and got["$.password"] == ("string", 1, False, "<redacted>") and "$.password.x" not in got and got["$.note"][0] == "string"
+    assert got["$[].a"] == ("number", 2, True, "1.5") and got["$"][:2] == ("object", 5)
+    assert endpoints.json_nodes(own.limit(0), [], "body").count() == 0
+    fields = {(r["name"], r["type"]) for r in endpoints.json_fields(own.limit(1), ["k"], "body").collect()}
+    assert fields == {("name", "string"), ("age", "integer"), ("note", "string")}
+
+
+def test_sizes_and_durations():
+    assert [X.size_of(t) for t in ("10", "10k", "1.5G", "2 MiB", "7b")] == [10, 10240, 1610612736, 2097152, 7]
+    assert [X.seconds_of(t) for t in ("30s", "5m", "1h 30m", "250ms")] == [30, 300, 5400, 0.25]
+    for bad in ("", "x", "1q"):
+        with pytest.raises(ValueError):
+            X.size_of(bad)
+        with pytest.raises(ValueError):
+            X.seconds_of(bad)
+
+
+def test_report_as_json_and_edge_orders(lines, spark):
+    got = json.loads(report.as_json(captures.events(lines)).first()["report"])
+    assert set(got) == {"span", "totals", "kinds", "processes", "peers"} and got["span"][0]["duration_ms"] == 2500 and {"kind": "tcp_data", "n": 4} in got["kinds"]
+    own = spark.createDataFrame([(1, 5, 1, 9, 0, "b", "x"), (2, 7, 2, 1, 1, "a", None), (3, 6, 2, 4, 4, "c", "w")], "k int, last_seen int, calls int, tx int, rx int, protocol string, label string")
+    order = lambda *a: [r["k"] for r in report.sorted_edges(own, a[0], ["k"], *a[1:]).collect()]
+    assert [order("last_seen"), order("calls"), order("bytes"), order("protocol"), order("peer"), order("calls", True)] == [[2, 3, 1], [2, 3, 1], [1, 3, 2], [2, 1, 3], [2, 3, 1], [1, 2, 3]]
+
+
 def test_edges_keep_first_label_and_last_protocol(spark):
     rows = [(1, "p", True, 5, 0, "http1", None, 1, 1), (1, "p", True, 5, 2, None, "a", 2, 2), (1, "p", False, 0, 0, "tls", "b", 3, 3), (2, "q", False, 0, 0, None, None, 1, 4)]
     table = spark.createDataFrame(rows, "pid int, peer string, is_call boolean, tx long, rx long, protocol string, label string, ts int, seq int")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wiretide.plans import content, extras, timeline, traffic, web, wire  # noqa: F401
+from wiretide.plans import bodies, content, extras, timeline, traffic, web, wire  # noqa: F401
 from wiretide.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

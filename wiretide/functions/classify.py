@@ -173,19 +173,73 @@ def tls_findings(version: Column, suite: Column) -> Column:
     return F.filter(F.array(old, *(F.when(suite.isin(ids), F.lit(name)) for name, ids in WEAK_SUITES.items())), lambda x: x.isNotNull())
 
 
-#: File endings by content type.
+#: Content types by file ending.
 EXTENSIONS = {
-    "application/json": "json", "text/html": "html", "text/plain": "txt", "text/css": "css", "text/csv": "csv", "text/xml": "xml", "application/xml": "xml", "application/javascript": "js",
-    "text/javascript": "js", "image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/webp": "webp", "image/svg+xml": "svg", "application/pdf": "pdf", "application/zip": "zip",
-    "application/gzip": "gz", "audio/mpeg": "mp3", "video/mp4": "mp4", "font/woff2": "woff2", "application/wasm": "wasm", "application/x-protobuf": "pb", "application/octet-stream": "bin",
+    "html": ["text/html", "application/xhtml+xml"], "txt": ["text/plain"], "css": ["text/css"], "js": ["text/javascript", "application/javascript", "application/ecmascript"],
+    "json": ["application/json", "application/problem+json"], "xml": ["application/xml", "text/xml", "application/rss+xml", "application/atom+xml"],
+    "yaml": ["application/yaml", "text/yaml", "application/x-yaml"], "png": ["image/png"], "jpg": ["image/jpeg", "image/jpg"], "gif": ["image/gif"], "webp": ["image/webp"],
+    "svg": ["image/svg+xml"], "avif": ["image/avif"], "ico": ["image/x-icon", "image/vnd.microsoft.icon"], "mp4": ["video/mp4"], "webm": ["video/webm"], "mp3": ["audio/mpeg"],
+    "ogg": ["audio/ogg"], "pdf": ["application/pdf"], "zip": ["application/zip"], "tar": ["application/x-tar", "application/tar"], "gz": ["application/gzip", "application/x-gzip"],
+    "wasm": ["application/wasm"], "grpc": ["application/grpc", "application/grpc+proto"], "pb": ["application/protobuf", "application/x-protobuf"], "sse": ["text/event-stream"],
 }
 
 
 def extension(content_type: Column) -> Column:
-    """The ending for a content type with or without parameters; ``bin`` for unknown ones."""
+    """The ending for a content type with or without parameters; ``bin`` for unknown ones and none."""
     plain = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
-    known = F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv))
-    return F.coalesce(F.try_element_at(known, plain), F.when(plain.endswith("+json"), "json").when(plain.endswith("+xml"), "xml"), F.lit("bin"))
+    known = F.create_map(*(F.lit(x) for end, kinds in EXTENSIONS.items() for kind in kinds for x in (kind, end)))
+    return F.coalesce(F.try_element_at(known, plain), F.lit("bin"))
+
+
+#: Names and passwords that devices, databases and applications come with.
+DEFAULT_CREDENTIALS = [
+    ("admin", "admin"), ("admin", "password"), ("admin", ""), ("admin", "123456"), ("root", "root"), ("root", ""), ("root", "toor"), ("root", "password"), ("user", "user"), ("test", "test"), ("guest", "guest"),
+    ("postgres", "postgres"), ("mysql", "mysql"), ("sa", "sa"), ("sa", ""), ("oracle", "oracle"), ("system", "manager"),
+    ("tomcat", "tomcat"), ("manager", "manager"), ("admin", "grafana"), ("grafana", "grafana"), ("elastic", "changeme"), ("kibana", "kibana"), ("minio", "minio123"), ("minioadmin", "minioadmin"), ("neo4j", "neo4j"), ("jenkins", "jenkins"),
+    ("cisco", "cisco"), ("ubnt", "ubnt"), ("admin", "airlive"), ("admin", "hikvision"), ("admin", "12345"), ("admin", "9999"), ("admin", "1234"), ("admin", "dahua"),
+    ("admin", "888888"), ("root", "vizxv"), ("admin", "admin1234"), ("pi", "raspberry"), ("ubuntu", "ubuntu"),
+]
+
+
+def is_default_login(user: Column, password: Column) -> Column:
+    return F.coalesce(F.struct(user, password).isin([F.struct(F.lit(u), F.lit(p)) for u, p in DEFAULT_CREDENTIALS]), F.lit(False))
+
+
+def login_findings(user: Column, password: Column, peer: Column) -> Column:
+    """What is wrong with a login seen in plain text: kind and severity; a null peer is no public one."""
+    from .text import is_private
+
+    known = F.when(is_default_login(user, password), F.struct(F.lit("default_credentials").alias("kind"), F.lit("critical").alias("severity")))
+    public = F.when(~is_private(peer), F.struct(F.lit("plaintext_credentials_on_public").alias("kind"), F.lit("high").alias("severity")))
+    return F.filter(F.array(known, public), lambda x: x.isNotNull())
+
+
+#: Headers that any request has and that are no parameters of an endpoint.
+STANDARD_HEADERS = [
+    "host", "user-agent", "accept", "accept-encoding", "accept-language", "cache-control", "connection", "content-length", "content-type", "content-encoding", "date", "etag", "expect", "expires", "if-match",
+    "if-none-match", "if-modified-since", "last-modified", "pragma", "referer", "server", "transfer-encoding", "upgrade", "vary", "via", ":method", ":path", ":scheme", ":authority", ":status",
+]
+#: Headers whose values are never shown.
+REDACTED_HEADERS = ["authorization", "cookie", "set-cookie", "proxy-authorization"]
+#: The field that labels a peer on the map, by protocol.
+LABEL_FIELDS = {
+    "http1": "host", "http2": "authority", "tls": "sni", "quic": "sni", "kerberos": "realm", "oracle": "service", "mssql": "database", "dhcp": "hostname", "snmp": "community", "smb": "share", "rtsp": "uri", "smpp": "system_id", "dns": "question", "coap": "path",
+}
+#: Fields that stand in where the first is missing.
+OTHER_FIELDS = {"oracle": "sid", "mssql": "server"}
+
+
+def peer_label(protocol: Column, fields: Column) -> Column:
+    """The label of a record's peer from its fields (a map of strings); null where the protocol has none."""
+    out = F.lit(None).cast("string")
+    for name, field in LABEL_FIELDS.items():
+        value = F.try_element_at(fields, F.lit(field))
+        if name in OTHER_FIELDS:
+            value = F.coalesce(value, F.try_element_at(fields, F.lit(OTHER_FIELDS[name])))
+        if name == "coap":
+            value = F.concat(F.lit("/"), value)
+        out = F.when(protocol == name, value).otherwise(out)
+    return out
 
 
 def grpc_call(path: Column) -> Column:

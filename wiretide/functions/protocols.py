@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .classify import REDACTED_HEADERS
+
 #: Ports that belong to a protocol.
 PORTS = {
     "http1": [80, 8080, 8000, 3000, 5000, 8888], "postgres": [5432], "mysql": [3306, 33060], "redis": [6379], "mongodb": [27017, 27018, 27019], "kafka": [9092, 29092],
@@ -74,22 +76,81 @@ def detect(port: Column, sent: Column, received: Column) -> Column:
     return F.coalesce(by_port(port), by_bytes(sent), by_bytes(received), F.lit("unknown"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_REQUEST = "(?:" + "|".join(METHODS) + r") [^ \r\n]+ HTTP/1\.[01]\r\n"
+_RESPONSE = r"HTTP/1\.[01] \d{3}[^\r\n]*\r\n"
+_MESSAGES = "array<struct<head:string,body:string>>"
+
+
+def _field(head: Column, name: str) -> Column:
+    return F.trim(F.regexp_extract(head, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1))
+
+
+def _chunked(text: Column, at: Column) -> Column:
+    """The joined chunks that begin at a place, and the place after them (past trailers)."""
+    start = F.struct(at.alias("at"), F.lit("").alias("body"), F.lit(False).alias("done"))
+
+    def step(s, _):
+        line = F.position(F.lit("\r\n"), text, s["at"])
+        size = F.conv(F.regexp_extract(F.substr(text, s["at"], F.lit(16)), r"^([0-9A-Fa-f]{1,8})[;\r]", 1), 16, 10).cast("int")
+
+        def moved(x):
+            bad = (x["line"] == 0) | x["size"].isNull()
+            after = F.position(F.lit("\r\n\r\n"), text, x["line"])
+            last = F.when(after > 0, after + 4).otherwise(F.length(text) + 1)
+            return F.struct(F.when(bad, s["at"]).when(x["size"] == 0, last).otherwise(x["line"] + 4 + x["size"]).alias("at"), F.when(bad | (x["size"] == 0), s["body"]).otherwise(F.concat(s["body"], F.substr(text, x["line"] + 2, x["size"]))).alias("body"), (bad | (x["size"] == 0)).alias("done"))
+
+        return F.when(s["done"], s).otherwise(let(F.struct(line.alias("line"), size.alias("size")), moved))
+
+    # Each chunk has two line ends of its own.
+    most = F.greatest(F.regexp_count(F.substr(text, at), F.lit(r"\r\n")), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)
+
+
+def _messages(text: Column, first: str, response: bool) -> Column:
+    """Heads and bodies of messages; each begins where the body of the one before ends.
+
+    A body has the length that its head states, or the chunks that follow; a response with neither
+    lasts to the end of the bytes, a request has none. Bytes that are no message are skipped.
+    """
+    start = F.struct(F.lit(1).alias("at"), F.array().cast(_MESSAGES).alias("out"))
+
+    def step(s, _):
+        gap = F.regexp_instr(F.substr(text, s["at"]), F.lit(first))
+        begin = s["at"] + gap - 1
+        end = F.when(gap > 0, F.position(F.lit("\r\n\r\n"), text, begin)).otherwise(0)
+
+        def bodied(x):
+            head = F.substr(text, x["begin"], x["end"] + 2 - x["begin"])
+            at = x["end"] + 4
+            stated = _field(head, "content-length").try_cast("int")
+            rest = F.length(text) + 1 - at
+            size = F.coalesce(F.when(stated.isNotNull(), F.least(stated, rest)), F.when(head.rlike(r"^HTTP/1\.[01] (1\d\d|204|304)"), F.lit(0)).otherwise(rest) if response else F.lit(0))
+            plain = F.struct((at + size).alias("at"), F.substr(text, at, size).alias("body"), F.lit(True).alias("done"))
+            body = F.when(F.lower(_field(head, "transfer-encoding")).endswith("chunked"), _chunked(text, at)).otherwise(plain)
+            return let(body, lambda b: F.struct(b["at"].alias("at"), F.array_append(s["out"], F.struct(head.alias("head"), b["body"].alias("body"))).alias("out")))
+
+        found = F.struct(begin.alias("begin"), end.alias("end"))
+        return let(found, lambda x: F.when(x["end"] == 0, F.struct((F.length(text) + 1).alias("at"), s["out"].alias("out"))).otherwise(bodied(x)))
+
+    most = F.greatest(F.regexp_count(text, F.lit(first)), F.lit(1))
+    return F.when(text.isNotNull(), F.aggregate(F.sequence(F.lit(1), most), start, step)["out"])
+
+
 def http1_requests(data: Column) -> Column:
-    """Requests in a client's bytes: method, target and headers, in order."""
-    heads = F.regexp_extract_all(latin1(data), F.lit(r"(?s)(?:^|(?<=\n)|(?<=[^A-Z]))((?:" + "|".join(METHODS) + r") [^ \r\n]+ HTTP/1\.[01]\r\n(?:[^\r\n]++\r\n)*+\r\n)"), F.lit(1))
+    """Requests in a client's bytes: method, target, headers and body (bytes as characters), in order."""
     line = lambda h, k: F.regexp_extract(h, r"^([A-Z]+) ([^ ]+) HTTP/(1\.[01])\r\n", k)
-    return F.transform(heads, lambda h: F.struct(line(h, 1).alias("method"), line(h, 2).alias("target"), headers(h).alias("headers")))
+    return F.transform(let(latin1(data), lambda t: _messages(t, _REQUEST, False)), lambda m: F.struct(line(m["head"], 1).alias("method"), line(m["head"], 2).alias("target"), headers(m["head"]).alias("headers"), m["body"].alias("body")))
 
 
 def http1_responses(data: Column) -> Column:
-    """Responses in a server's bytes: status, reason and headers, in order."""
-    heads = F.regexp_extract_all(latin1(data), F.lit(r"(HTTP/1\.[01] \d{3}[^\r\n]*\r\n(?:[^\r\n]++\r\n)*+\r\n)"), F.lit(1))
+    """Responses in a server's bytes: status, reason, headers and body (bytes as characters), in order."""
     line = lambda h, k: F.regexp_extract(h, r"^HTTP/1\.[01] (\d{3}) ?([^\r\n]*)\r\n", k)
-    return F.transform(heads, lambda h: F.struct(line(h, 1).cast("int").alias("status"), line(h, 2).alias("reason"), headers(h).alias("headers")))
-
-
-#: Headers whose values are never shown.
-REDACTED_HEADERS = ("authorization", "cookie", "set-cookie", "proxy-authorization")
+    return F.transform(let(latin1(data), lambda t: _messages(t, _RESPONSE, True)), lambda m: F.struct(line(m["head"], 1).cast("int").alias("status"), line(m["head"], 2).alias("reason"), headers(m["head"]).alias("headers"), m["body"].alias("body")))
 
 
 def headers(head: Column) -> Column:
@@ -128,20 +189,48 @@ def dns_question(data: Column) -> Column:
     )
 
 
+def _commands(text: Column) -> Column:
+    """Words of each array of bulk strings, by the lengths they state; bytes that are none are skipped."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+    count = lambda at, mark: F.regexp_extract(F.substr(text, at, F.lit(16)), rf"^{mark}(\d{{1,9}})\r\n", 1).try_cast("int")
+    after = lambda at: F.position(F.lit("\r\n"), text, at) + 2
+
+    def word(w, _):
+        def read(n):
+            begin = after(w["at"])
+            fine = n.isNotNull() & (begin + n <= F.length(text) + 1)
+            return F.when(fine, F.struct((begin + n + 2).alias("at"), F.array_append(w["words"], F.substr(text, begin, n)).alias("words"), F.lit(True).alias("fine"))).otherwise(F.struct(w["at"].alias("at"), w["words"].alias("words"), F.lit(False).alias("fine")))
+
+        return F.when(w["fine"], let(count(w["at"], r"\$"), read)).otherwise(w)
+
+    def step(s, _):
+        gap = F.regexp_instr(F.substr(text, s["at"]), F.lit(r"\*[1-9]\d{0,8}\r\n\$"))
+
+        def read(begin):
+            empty = F.struct(after(begin).alias("at"), F.array().cast("array<string>").alias("words"), F.lit(True).alias("fine"))
+            # Each word takes five bytes or more.
+            words = F.least(count(begin, r"\*"), F.floor(F.length(text) / 5).cast("int") + 1)
+            return let(F.aggregate(F.sequence(F.lit(1), F.greatest(words, F.lit(1))), empty, word), lambda w: F.struct(w["at"].alias("at"), F.when(w["fine"], F.array_append(s["out"], w["words"])).otherwise(s["out"]).alias("out")))
+
+        done = F.struct((F.length(text) + 1).alias("at"), s["out"].alias("out"))
+        return let(gap, lambda g: F.when(g == 0, done).otherwise(let(s["at"] + g - 1, read)))
+
+    most = F.greatest(F.regexp_count(text, F.lit(r"\*[1-9]\d{0,8}\r\n\$")), F.lit(1))
+    return F.when(text.isNotNull(), F.aggregate(F.sequence(F.lit(1), most), start, step)["out"])
+
+
 def redis_commands(data: Column) -> Column:
     """Arrays of bulk strings in a client's bytes, words separated by a space.
 
     ``AUTH`` comes without its arguments, and the password of ``HELLO ... AUTH user password`` is masked.
     """
-    found = F.regexp_extract_all(latin1(data), F.lit(r"(?s)\*\d+\r\n(?:\$\d+\r\n[^\r]*\r\n)+"), F.lit(0))
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\$\d+\r\n([^\r]*)\r\n"), F.lit(1))
 
     def shown(w: Column) -> Column:
         name = F.upper(F.get(w, F.lit(0)))
         hello = F.transform(w, lambda x, i: F.when((i >= 3) & (F.upper(F.get(w, i - 2)) == "AUTH"), "<redacted>").otherwise(x))
         return F.when(name == "AUTH", F.slice(w, 1, 1)).when(name == "HELLO", hello).otherwise(w)
 
-    return F.transform(found, lambda c: F.array_join(shown(words(c)), " "))
+    return F.transform(let(latin1(data), _commands), lambda w: F.array_join(shown(w), " "))
 
 
 def protobuf_varint(data: Column, at: int = 0) -> Column:

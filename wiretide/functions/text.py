@@ -100,9 +100,88 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.array_max(octets) <= 255), whole)
 
 
+def ip_key(ip: Column) -> Column:
+    """Any address as 32 hex digits of its 16 bytes, in their order; IPv4 as a mapped address. Null if it is neither.
+
+    A trailing IPv4 address within an IPv6 one is read as its last four bytes.
+    """
+    v4 = lambda x: F.lpad(F.lower(F.hex(ipv4_number(x))), 8, "0")
+    tail = F.regexp_extract(ip, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    last = F.concat(F.substring(v4(tail), 1, 4), F.lit(":"), F.substring(v4(tail), 5, 4))
+    text = F.lower(F.when(tail == "", ip).otherwise(F.concat(F.substr(ip, F.lit(1), F.length(ip) - F.length(tail)), last)))
+    groups = lambda x: F.transform(F.filter(F.split(x, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+    halves = F.split(text, "::")
+    left, right = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    gap = 8 - F.size(left) - F.size(right)
+    digits = F.concat(F.array_join(left, ""), F.repeat(F.lit("0000"), gap), F.array_join(right, ""))
+    edges = ~text.rlike(r"^:[^:]|[^:]:$|:::")
+    fine = edges & F.when(F.size(halves) == 2, gap >= 1).otherwise((F.size(halves) == 1) & (gap == 0))
+    return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), v4(ip)), F.when(text.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~text.rlike("[0-9a-f]{5}") & fine, digits))
+
+
 def in_cidr(ip: Column, cidr: str) -> Column:
+    """Whether an address lies in a network of its family; null for no address."""
     net = ipaddress.ip_network(cidr)
-    return ipv4_number(ip).between(int(net.network_address), int(net.broadcast_address))
+    first, last = int(net.network_address), int(net.broadcast_address)
+    if net.version == 4:
+        return ipv4_number(F.regexp_replace(ip, "(?i)^::ffff:", "")).between(first, last)
+    return ip_key(ip).between(f"{first:032x}", f"{last:032x}") & F.instr(ip, ":").cast("boolean")
+
+
+def shown_ip(ip: Column) -> Column:
+    """A mapped IPv4 address as IPv4, other IPv6 addresses in brackets."""
+    plain = F.regexp_replace(ip, r"(?i)^::ffff:(?=\d+\.)", "")
+    return F.when(F.instr(plain, ":") > 0, F.concat(F.lit("["), plain, F.lit("]"))).otherwise(plain)
+
+
+def shown_endpoint(name: Column, ip: Column, port: Column) -> Column:
+    """``name[ip]:port``, or ``ip:port`` without a name of its own."""
+    base, end = shown_ip(ip), F.concat(F.lit(":"), port.cast("string"))
+    own = name.isNotNull() & (name != "") & (name != base)
+    return F.when(own, F.concat(name, F.lit("["), base, F.lit("]"), end)).otherwise(F.concat(base, end))
+
+
+def scrubbed(text: Column) -> Column:
+    """Texts of over 64 characters that are all of a token's alphabet are hidden."""
+    return F.when(F.trim(text).rlike(r"^[A-Za-z0-9_.=-]{65,}$"), "<redacted>").otherwise(text)
+
+
+def fnv1a64(text: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes as 16 hex digits; the halves are kept apart, so nothing overflows."""
+    half = (1 << 32) - 1
+    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: F.conv(F.hex(F.substr(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("long"))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+
+    def step(h, b):
+        low = h["low"].bitwiseXOR(b)
+        return F.struct((h["high"] * 435 + F.shiftright(low * 435, 32) + low * 256).bitwiseAND(F.lit(half)).alias("high"), (low * 435).bitwiseAND(F.lit(half)).alias("low"))
+
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.when(text == "", F.lit("cbf29ce484222325")).otherwise(F.aggregate(codes, start, step, lambda h: F.concat(digits(h["high"]), digits(h["low"]))))
+
+
+def clock(time: Column) -> Column:
+    return F.date_format(time, "HH:mm:ss.SSS")
+
+
+def size_of(text: str) -> int:
+    """Bytes of ``10``, ``10k``, ``100M``, ``1.5G``: powers of 1024."""
+    import re
+
+    found = re.fullmatch(r"\s*(\d+(?:\.\d*)?|\.\d+)\s*([kmgt]?)(?:i?b)?\s*", text.lower())
+    if not found:
+        raise ValueError(f"not a size: {text!r}")
+    return int(float(found[1]) * 1024 ** " kmgt".index(found[2] or " "))
+
+
+def seconds_of(text: str) -> float:
+    """Seconds of ``30s``, ``5m``, ``1h 30m``, ``250ms``."""
+    import re
+
+    units = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+    if not re.fullmatch(r"\s*(\d+\s*(ms|[smhdw])\s*)+", text):
+        raise ValueError(f"not a duration: {text!r}")
+    return sum(int(n) * units[u] for n, u in re.findall(r"(\d+)\s*(ms|[smhdw])", text))
 
 
 #: Address ranges that aren't public.

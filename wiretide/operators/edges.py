@@ -32,7 +32,8 @@ def protocol_weights(edges: DataFrame) -> DataFrame:
 
 def vertices(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Distinct ends of edges with their side."""
-    return edges.select(F.lit("source").alias("side"), F.col(source).cast("string").alias("vertex")).union(edges.select(F.lit("target"), F.col(target).cast("string"))).distinct()
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).cast("string").alias("vertex")) for side, c in (("source", source), ("target", target))))
+    return edges.select(F.explode(ends).alias("end")).select("end.side", "end.vertex").distinct()
 
 
 def ndjson(edges: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def dot_lines(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Lines of a Graphviz drawing: vertices, dashed peers named by a hash, and edges."""
     peer = F.col(target).cast("string")
     name = F.concat(F.lit("q_"), F.lpad(F.lower(F.hex(fnv1a32(peer))), 8, "0"))
-    own = edges.select(F.concat(F.lit("p"), F.col(source).cast("string"), F.lit(" [shape=box];")).alias("line")).distinct()
-    other = edges.select(F.concat(name, F.lit(' [label="'), peer, F.lit('", style=dashed];')).alias("line")).distinct()
+    own = F.concat(F.lit("p"), F.col(source).cast("string"), F.lit(" [shape=box];"))
+    other = F.concat(name, F.lit(' [label="'), peer, F.lit('", style=dashed];'))
     label = F.concat_ws(" ", F.col("protocol"), F.concat(F.col("calls").cast("string"), F.lit("c")), F.concat(F.lit("tx="), F.col("tx").cast("string")), F.concat(F.lit("rx="), F.col("rx").cast("string")))
-    arrow = edges.select(F.concat(F.lit("p"), F.col(source).cast("string"), F.lit(" -> "), name, F.lit(' [label="'), label, F.lit('"];')).alias("line"))
-    return own.union(other).union(arrow)
+    arrow = F.concat(F.lit("p"), F.col(source).cast("string"), F.lit(" -> "), name, F.lit(' [label="'), label, F.lit('"];'))
+    # One pass over the edges; an edge is one row, so its arrow is distinct already.
+    return edges.select(F.explode(F.array(own, other, arrow)).alias("line")).where("line is not null").distinct()

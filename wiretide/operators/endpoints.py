@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import PLACEHOLDERS, SECRET_KEY, segment_class, values_type
-from ..functions.text import path_of, query_of, url_decoded, url_host
+from ..functions.classify import PLACEHOLDERS, REDACTED_HEADERS, SECRET_KEY, STANDARD_HEADERS, UUID, grpc_call, segment_class, values_type
+from ..functions.text import path_of, query_of, scrubbed, shortened, url_decoded, url_host
 
 
 def requests(urls: DataFrame, url: str = "url") -> DataFrame:
@@ -88,14 +91,96 @@ def last_examples(records: DataFrame, keys: list[str], order: list[Column], most
     return records.withColumn("rank", F.row_number().over(recent)).where(F.col("rank") <= most)
 
 
+def endpoint_totals(calls: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    """Calls, first and last time, and bytes of both bodies of each endpoint.
+
+    ``calls`` has request_bytes and response_bytes; empty and unknown bodies don't count into the
+    averages, which are whole numbers.
+    """
+    out = [F.count("*").alias("calls"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen")]
+    for side in ("request", "response"):
+        size = F.when(F.col(f"{side}_bytes") > 0, F.col(f"{side}_bytes"))
+        out += [F.coalesce(F.sum(size), F.lit(0)).cast("long").alias(f"total_{side}_bytes"), F.coalesce(F.floor(F.sum(size) / F.count(size)), F.lit(0)).cast("long").alias(f"avg_{side}_bytes")]
+    return calls.groupBy(*keys).agg(*out)
+
+
+def grpc_rollup(calls: DataFrame, path: str = "path", time: str = "ts") -> DataFrame:
+    """``endpoint_totals`` of gRPC calls by service and method; other paths are left out."""
+    named = calls.withColumn("call", grpc_call(F.col(path))).where("call is not null")
+    return endpoint_totals(named.withColumns({"service": F.col("call.service"), "method": F.col("call.method")}), ["service", "method"], time)
+
+
+def header_params(calls: DataFrame, keys: list[str], headers: str = "headers") -> DataFrame:
+    """Headers of each endpoint that aren't standard ones: samples, distinct values, required and an example.
+
+    ``headers`` is an array of (name, value); names count without case. Values of credentials
+    and secret names are hidden.
+    """
+    total = calls.groupBy(*keys).agg(F.count("*").alias("calls"))
+    each = calls.select(*keys, F.explode(headers).alias("h")).select(*keys, F.lower("h.name").alias("name"), F.col("h.value").alias("value")).where(~F.col("name").isin(STANDARD_HEADERS))
+    stats = each.groupBy(*keys, "name").agg(F.count("*").alias("samples"), F.countDistinct("value").alias("distinct_values"), F.max("value").alias("example"))
+    hidden = F.col("name").isin(REDACTED_HEADERS) | F.col("name").rlike(SECRET_KEY)
+    return stats.join(total, keys).select(*keys, "name", "samples", "distinct_values", (F.col("samples") >= F.col("calls")).alias("required"), F.when(hidden, "<redacted>").otherwise(F.col("example")).alias("example"))
+
+
+def variant_type(value: Column) -> Column:
+    """unknown, boolean, integer, number, uuid, string, array or object."""
+    shape, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return (
+        F.when(shape == "VOID", "unknown")
+        .when(shape == "BOOLEAN", "boolean")
+        .when((shape == "BIGINT") | (shape.isin("DECIMAL(19,0)", "DECIMAL(20,0)") & text.try_cast("decimal(20,0)").between(Decimal(-(2**63)), Decimal(2**64 - 1))), "integer")
+        .when(shape.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
+        .when(shape == "STRING", F.when(text.rlike(UUID), "uuid").otherwise("string"))
+        .when(shape.startswith("ARRAY"), "array")
+        .when(shape.startswith("OBJECT"), "object")
+        .otherwise("unknown")
+    )
+
+
+def json_nodes(records: DataFrame, keys: list[str], body: str, depth: int = 8) -> DataFrame:
+    """Every value in JSON bodies: its path (``$.a.b``, ``$.tags[]``), its parent's path, type and text.
+
+    Bodies that are no JSON have no rows. Values of secret names count as strings and are hidden,
+    with what they hold. ``depth`` bounds the levels, the body being the first; each level is one step of the
+    plan over the containers of the level above.
+    """
+    level = records.select(*keys, F.lit(None).cast("string").alias("parent"), F.lit("$").alias("path"), F.try_parse_json(body).alias("value"), F.lit(False).alias("secret")).where("value is not null")
+    parts = []
+    for _ in range(depth):
+        kind = F.when(F.col("secret"), "string").otherwise(variant_type(F.col("value")))
+        text = F.when(F.col("secret"), "<redacted>").otherwise(F.try_variant_get("value", "$", "string"))
+        parts.append(level.select(*keys, "parent", "path", kind.alias("type"), F.when(kind.isin("object", "array"), None).otherwise(text).alias("raw")))
+        inner = level.where(~F.col("secret") & F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select(*keys, "path", "value")
+        child = inner.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "item"))
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "key"))
+        level = child.select(*keys, F.col("path").alias("parent"), path.alias("path"), F.col("item").alias("value"), F.coalesce(F.col("key").rlike(SECRET_KEY), F.lit(False)).alias("secret"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def json_schema_tree(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The schema of each path: type by most votes (ties: first by name), required, enum and an example.
+
+    A member is required if it is in every object at its parent's path; items of arrays and the body aren't.
+    A string is an enum with at least five samples and 2 to 20 values. Examples are at
+    most 64 characters, and those that look like tokens are hidden.
+    """
+    votes = nodes.groupBy(*keys, "parent", "path", "type").agg(F.count("*").alias("votes"), F.max("raw").alias("top"))
+    best = votes.groupBy(*keys, "parent", "path").agg(
+        F.min_by("type", F.when(F.col("type") != "unknown", F.struct(-F.col("votes"), F.col("type")))).alias("type"), F.sum("votes").alias("samples"), F.max("top").alias("example"), F.sum(F.when(F.col("type") == "object", F.col("votes"))).alias("objects")
+    )
+    strings = nodes.where("type = 'string'").groupBy(*keys, "path").agg(F.countDistinct("raw").alias("distinct_values"), F.count("raw").alias("strings"))
+    above = best.select(*keys, F.col("path").alias("parent"), "objects")
+    out = best.drop("objects").join(strings, [*keys, "path"], "left").join(above, [*keys, "parent"], "left")
+    enum = (F.col("type") == "string") & (F.col("strings") >= 5) & F.col("distinct_values").between(2, 20)
+    required = ~F.col("path").endswith("[]") & (F.col("samples") >= F.col("objects"))
+    return out.select(*keys, "path", F.coalesce("type", F.lit("unknown")).alias("type"), "samples", F.coalesce(required, F.lit(False)).alias("required"), F.coalesce(enum, F.lit(False)).alias("is_enum"), shortened(scrubbed(F.col("example")), 64).alias("example"))
+
+
 def json_fields(records: DataFrame, keys: list[str], body: str) -> DataFrame:
     """Top-level fields of JSON object bodies with the type and raw value of each."""
-    as_map = F.from_json(body, "map<string,string>")
-    field = records.select(*keys, F.explode(as_map).alias("name", "raw"), F.get_json_object(body, "$").alias("whole"))
-    raw = F.col("raw")
-    quoted = F.get(F.regexp_extract_all(F.col("whole"), F.lit(r'"[^"]*"\s*:\s*"'), F.lit(0)), F.lit(0)).isNotNull()
-    kind = F.when(raw.isNull(), "null").when(raw.rlike(r"^-?[0-9]+$") & ~quoted, "integer").when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & ~quoted, "number").when(raw.isin("true", "false") & ~quoted, "boolean").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").otherwise("string")
-    return field.select(*keys, "name", "raw", kind.alias("type"))
+    top = json_nodes(records, keys, body, depth=2).where("parent = '$' and path <> '$[]'")
+    return top.select(*keys, F.substr("path", F.lit(3)).alias("name"), "raw", "type")
 
 
 def json_schema(fields: DataFrame, keys: list[str], samples: DataFrame) -> DataFrame:
@@ -105,7 +190,7 @@ def json_schema(fields: DataFrame, keys: list[str], samples: DataFrame) -> DataF
     five samples and 2 to 20 values.
     """
     votes = fields.groupBy(*keys, "name", "type").agg(F.count("*").alias("votes"))
-    best = votes.where("type <> 'null'").groupBy(*keys, "name").agg(F.min_by("type", F.struct(-F.col("votes"), F.col("type"))).alias("type"))
+    best = votes.where("type <> 'unknown'").groupBy(*keys, "name").agg(F.min_by("type", F.struct(-F.col("votes"), F.col("type"))).alias("type"))
     seen = fields.groupBy(*keys, "name").agg(F.count("*").alias("seen"), F.countDistinct("raw").alias("distinct_values"))
     out = seen.join(best, [*keys, "name"], "left").join(samples, keys) if keys else seen.join(best, ["name"], "left").crossJoin(samples)
     enum = (F.col("type") == "string") & (F.col("seen") >= 5) & F.col("distinct_values").between(2, 20)

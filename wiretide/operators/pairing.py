@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,20 @@ def sessions(events: DataFrame, keys: list[str], time: str, gap: str = "30 minut
 
 def rate(events: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
     return events.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def answered(messages: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """Responses with the request that they answer: the one just before them under the same correlation id.
+
+    ``messages`` has the keys (flow and id), is_request and the request's value. A request is answered once;
+    responses without one stay, with nulls. Ids may be used again.
+    """
+    own = Window.partitionBy(*keys).orderBy(*order)
+    asked = F.when(F.lag("is_request").over(own), F.lag(value).over(own))
+    return messages.withColumn("request", asked).where(~F.col("is_request"))
+
+
+def prepared(messages: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """Executions with the statement last prepared before them under the same id; any number may use it."""
+    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return messages.withColumn("statement", F.last(F.when(F.col("is_request"), F.col(value)), ignorenulls=True).over(own)).where(~F.col("is_request"))

@@ -44,3 +44,25 @@ def totals(events: DataFrame) -> DataFrame:
 
 def quality(lines: DataFrame, corrupt: str = "_corrupt") -> DataFrame:
     return lines.agg(F.count("*").alias("total_lines"), F.count(corrupt).alias("parse_errors"))
+
+
+def sorted_edges(edges: DataFrame, by: str, keys: list[str], reverse: bool = False, top: int | None = None) -> DataFrame:
+    """The edge table by last_seen, calls or bytes (greatest first), or by protocol or peer (which have no reverse order); ties by key."""
+    value = {"bytes": F.col("tx") + F.col("rx"), "peer": F.coalesce("label", F.lit(""))}.get(by, F.col(by))
+    ascending = by in ("protocol", "peer") or reverse
+    out = edges.orderBy(value.asc() if ascending else value.desc(), *keys)
+    return out.limit(top) if top else out
+
+
+def top_protocols(events: DataFrame, column: str = "protocol", top: int = 6) -> DataFrame:
+    return events.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(top)
+
+
+def as_json(events: DataFrame) -> DataFrame:
+    """The whole summary as one row of JSON: span, totals, kinds and the busiest processes and peers.
+
+    Each part is a list of at most 20 rows, of one row, or of one row for each kind, in no order of rank.
+    """
+    parts = {"span": span(events), "totals": totals(events), "kinds": kinds(events), "processes": processes(events), "peers": peers(events)}
+    lists = [t.select(F.struct(*t.columns).alias("r")).agg(F.collect_list("r").alias("a")).scalar().alias(n) for n, t in parts.items()]
+    return events.sparkSession.range(1).select(F.to_json(F.struct(*lists)).alias("report"))

@@ -119,8 +119,6 @@ def tls_hygiene(spark, sf_dir):
     return own.select("version", "suite", F.array_join(C.tls_findings(F.col("version"), F.col("suite")), ",").alias("findings"))
 
 
-#: Some credentials that devices and databases come with.
-DEFAULT_CREDENTIALS = [("admin", "admin"), ("root", "root"), ("admin", "password"), ("postgres", "postgres"), ("guest", "guest"), ("admin", ""), ("root", "toor"), ("sa", "sa"), ("user", "user"), ("test", "test")]
 _BASIC = "('Basic YWRtaW46YWRtaW4=', 'admin', 'admin', true), ('Basic cm9vdDpzM2NyZXQ6eA==', 'root', 's3cret:x', false), ('Basic Z3Vlc3Q6Z3Vlc3Q', 'guest', 'guest', true), ('Basic $$$$', NULL, NULL, false), ('Bearer abc', NULL, NULL, false)"
 
 
@@ -128,9 +126,8 @@ _BASIC = "('Basic YWRtaW46YWRtaW4=', 'admin', 'admin', true), ('Basic cm9vdDpzM2
 def basic_auth_defaults(spark, sf_dir):
     own = values(spark, "header, usr, pass, is_default", _BASIC).select("header")
     text = F.try_validate_utf8(X.base64_strict(F.when(F.col("header").startswith("Basic "), F.substr("header", F.lit(7)))).cast("string"))
-    known = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', '{p}', true)" for u, p in DEFAULT_CREDENTIALS) + " AS t(usr, pass, hit)"))
     split = own.withColumn("text", text).select("header", F.when(F.instr("text", ":") > 0, F.substring_index("text", ":", 1)).alias("usr"), F.when(F.instr("text", ":") > 0, F.substr("text", F.instr("text", F.lit(":")) + 1)).alias("pass"))
-    return split.join(known, ["usr", "pass"], "left").select("header", "usr", "pass", F.coalesce("hit", F.lit(False)).alias("is_default"))
+    return split.select("header", "usr", "pass", C.is_default_login(F.col("usr"), F.col("pass")).alias("is_default"))
 
 
 _ADDR = "('10.0.0.1:40000', '10.0.0.1', 40000), ('[2001:db8::1]:443', '2001:db8::1', 443), ('8.8.8.8:53', '8.8.8.8', 53), ('nonsense', NULL, NULL)"

@@ -14,7 +14,7 @@ from .content import values
 from .registry import query
 from .web import _BASE, _TEMPLATES, reqs
 
-_TYPES = "('application/json; charset=utf-8', 'json'), ('TEXT/HTML', 'html'), ('image/png', 'png'), ('application/problem+json', 'json'), ('application/x-odd', 'bin')"
+_TYPES = "('application/json; charset=utf-8', 'json'), ('TEXT/HTML', 'html'), ('image/png', 'png'), ('application/problem+json', 'json'), ('application/x-odd', 'bin'), ('text/yaml', 'yaml'), ('image/jpg', 'jpg'), ('image/vnd.microsoft.icon', 'ico'), ('video/webm', 'webm'), ('text/event-stream', 'sse'), ('application/grpc+proto', 'grpc'), ('application/x-tar', 'tar'), ('audio/ogg', 'ogg'), ('image/avif', 'avif'), ('', 'bin')"
 
 
 @query(f"SELECT content_type, ext FROM (VALUES {_TYPES}) AS t(content_type, ext)")
