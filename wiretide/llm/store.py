@@ -2,7 +2,8 @@
 
 Intermediate results that are read more than once are written as Parquet below
 ``spark.checkpoint.dir``: a lost executor then costs a re-read, not a recomputation, and the
-plans that follow start from a scan. ``release`` deletes what earlier operators left there.
+plans that follow start from a scan. A caller that stores an operator's result can delete the
+tables behind it: ``made`` notes them and ``delete_made`` deletes them, and no others.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LIVE: list[str] = []
+_NOTED: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,18 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def new_path(spark: SparkSession, name: str, released: bool = True) -> str:
-    """A fresh place in the shared folder; ``release`` deletes it unless told otherwise."""
-    path = f"{shared_dir(spark).rstrip('/')}/wiretide-{uuid.uuid4().hex}/{name}"
-    if released:
-        _LIVE.append(path)
-    return path
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/wiretide-{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def made(paths: list[str]) -> Iterator[None]:
+    """Notes the tables that are written within."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED[:] = [x for x in _NOTED if x is not paths]
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _LIVE.append(path)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
@@ -58,10 +72,13 @@ def drop(*tables: DataFrame) -> None:
             _LIVE.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table of this module; call it only when results built on them are stored."""
-    while _LIVE:
-        delete(spark, _LIVE.pop())
+def delete_made(spark: SparkSession, paths: list[str]) -> None:
+    """Delete noted tables; call it only when the results built on them are stored."""
+    while paths:
+        path = paths.pop()
+        if path in _LIVE:
+            delete(spark, path)
+            _LIVE.remove(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
