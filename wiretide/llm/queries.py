@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables with production parameters."""
+"""The numbered operators applied to their whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, flac, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
+from . import align, chat, decontaminate, flac, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
 from .oracles import oracle_sql as oracle_sql
 from .store import read, table
 
@@ -80,6 +80,10 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(names, ",").alias("licences"), F.size("sentences").cast("long").alias("n_sentences"), F.size("matches").cast("long").alias("n_matches"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules]
+    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules, op11_token_alignment]
     return {f.__name__: f for f in own}
