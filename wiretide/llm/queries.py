@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, flac, langid, licenses, minhash, packing, suffixes, tokenfile, toxicity
+from . import align, chat, decontaminate, flac, langid, licenses, minhash, packing, secrets, suffixes, tokenfile, toxicity
 from .oracles import oracle_sql as oracle_sql
 from .store import read, table
 
@@ -84,6 +84,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules, op11_token_alignment]
+    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules, op11_token_alignment, op12_secret_scan]
     return {f.__name__: f for f in own}
