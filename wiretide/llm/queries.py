@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontaminate, flac, langid, licenses, minhash, packing, secrets, suffixes, tokenfile, toxicity
+from . import align, chat, decontaminate, flac, langid, licenses, minhash, packing, secrets, suffixes, tokenfile, toxicity, vafile
 from .oracles import oracle_sql as oracle_sql
 from .store import read, table
 
@@ -89,6 +89,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, number = F.col("label").cast("long"), F.col("vec_id").cast("long")
+    own = vafile.vectors(read(spark, sf_dir, "embeddings"), F.when(number % 7 == 0, (label + 1) % 10).otherwise(label))
+    return vafile.hard_negatives(own, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules, op11_token_alignment, op12_secret_scan]
+    own = [op1_flac_media, op2_suffix_dedup, op3_nnpu_toxicity, op4_kneser_ney_language, op5_token_planes, op6_minhash_join, op7_decontamination, op8_event_sourced_chat, op9_best_fit_packing, op10_license_rules, op11_token_alignment, op12_secret_scan, op13_hard_negatives]
     return {f.__name__: f for f in own}
