@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import Encoder, byte_letters
 from .store import table
 from .textbytes import flat, hash_spans, slices
 from .tokenfile import decode_chunk, encode_chunk
@@ -29,23 +30,26 @@ from .tokenfile import decode_chunk, encode_chunk
 #: Bytes of texts in a block (one document at least).
 BLOCK_BYTES = 1 << 24
 #: Pieces and bytes of pieces kept per worker; the memory starts anew beyond it.
-MOST_PIECES, MOST_BYTES = 400_000, 1 << 25
+MOST_PIECES, MOST_BYTES = 600_000, 1 << 25
 BLOCK = "block long, doc_ids binary, sums binary, digests binary, n_pairs binary, plane_sizes binary, planes binary, id_bytes int, pairs array<long>, holders array<int>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SPACE = 32
 
 
 class Transducer:
-    """States are interned; state 0 has an empty suffix. ``groups`` closes groups as it goes."""
+    """States are interned (0: empty suffix) and moves memoised; many sequences step side by side."""
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         self.tokens = (bytes_a, bytes_b)
+        self.width = max(len(bytes_a), len(bytes_b))
         self.clear()
 
     def clear(self) -> None:
         self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.of: list[tuple[int, bytes]] = [(0, b"")]
-        self.moves: dict[tuple[int, int], int] = {}
+        self.sides = np.zeros(1, np.int8)
+        # Memoised moves: state * width + token in ascending order, and the state after.
+        self.keys, self.after = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def state(self, side: int, suffix: bytes) -> int:
         if not suffix:
@@ -65,32 +69,77 @@ class Transducer:
             return self.state(side, suffix[len(own) :])
         return self.state(1 - side, own[len(suffix) :]) if own.startswith(suffix) else -1
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """Groups of ids and linked id pairs, or None if the bytes of the sequences differ.
-
-        A token that is read links with the leading one: the last token of the leading side.
+    def moved(self, keys: np.ndarray) -> np.ndarray:
+        """States after these moves; moves that are new are made and kept."""
+        place = np.searchsorted(self.keys, keys)
+        inside = place < len(self.keys)
+        fresh = ~inside
+        fresh[inside] = self.keys[place[inside]] != keys[inside]
+        if fresh.any():
+            new = np.unique(keys[fresh])
+            got = [self.move(k // self.width, k % self.width) for k in new.tolist()]
+            at = np.searchsorted(self.keys, new)
+            self.keys, self.after = np.insert(self.keys, at, new), np.insert(self.after, at, got)
+            self.sides = np.array([x[0] for x in self.of], np.int8)
+            place = np.searchsorted(self.keys, keys)
+        return self.after[place]
+
+    def run(self, a: np.ndarray, first_a: np.ndarray, b: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each pair of sequences has the same bytes, the last tokens of groups on both sides, and links.
+
+        A link is the sequence's number and its ids (a, then b, 32 bits each): a token that is read
+        links with the leading one, the last token of the leading side.
         """
-        out, links, state, i, j = [], [], 0, 0, 0
-        first_a = first_b = 0
-        moves, of = self.moves, self.of
-        while i < len(a) or j < len(b) or state:
-            behind_a = not state or of[state][0] == 1
-            if i >= len(a) if behind_a else j >= len(b):
-                return None
-            token = a[i] if behind_a else b[j]
-            if state:
-                links.append((token, b[j - 1]) if behind_a else (a[i - 1], token))
-            key = (state, token)
-            state = moves.get(key)
-            if state is None:
-                state = moves[key] = self.move(*key)
-            if state < 0:
-                return None
-            i, j = (i + 1, j) if behind_a else (i, j + 1)
-            if not state:
-                out.append((a[first_a:i], b[first_b:j]))
-                first_a, first_b = i, j
-        return out, links
+        n = len(first_a) - 1
+        state, i, j = np.zeros(n, np.int64), first_a[:-1].copy(), first_b[:-1].copy()
+        good, last_a, last_b = np.ones(n, bool), np.zeros(len(a), bool), np.zeros(len(b), bool)
+        whose, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.arange(n)
+        while True:
+            ended = (state[at] == 0) & (i[at] == first_a[at + 1]) & (j[at] == first_b[at + 1])
+            at = at[~ended]
+            if not len(at):
+                return good, last_a, last_b, np.concatenate(whose), np.concatenate(links)
+            own = state[at]
+            reads_a = (own == 0) | (self.sides[own] == 1)
+            short = np.where(reads_a, i[at] >= first_a[at + 1], j[at] >= first_b[at + 1])
+            good[at[short]] = False
+            at, own, reads_a = at[~short], own[~short], reads_a[~short]
+            token = np.empty(len(at), np.int64)
+            token[reads_a], token[~reads_a] = a[i[at[reads_a]]], b[j[at[~reads_a]]]
+            led = own != 0
+            by_a, by_b = led & reads_a, led & ~reads_a
+            for k, pairs in ((by_a, (token[by_a] << 32) | b[j[at[by_a]] - 1]), (by_b, (a[i[at[by_b]] - 1] << 32) | token[by_b])):
+                whose.append(at[k])
+                links.append(pairs)
+            then = self.moved(own * self.width + token)
+            i[at[reads_a]] += 1
+            j[at[~reads_a]] += 1
+            good[at[then < 0]] = False
+            at, then = at[then >= 0], then[then >= 0]
+            state[at] = then
+            closed = at[then == 0]
+            last_a[i[closed] - 1] = last_b[j[closed] - 1] = True
+
+
+def written(a: np.ndarray, last_a: np.ndarray, b: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups as text, each with a semicolon at its end, and the offset of each group."""
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    groups = int(last_a.sum())
+    before_a = np.concatenate(([0], np.cumsum(np.bincount(group_a, minlength=groups))))
+    before_b = np.concatenate(([0], np.cumsum(np.bincount(group_b, minlength=groups))))
+    value, end = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    at_a, at_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b + 1]
+    value[at_a], value[at_b] = a, b
+    end[at_a], end[at_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+    digits = 1 + sum((value >= 10**k).astype(np.int64) for k in range(1, 10))
+    lead = np.concatenate(([0], np.cumsum(digits + 1)))
+    out = np.empty(lead[-1], np.uint8)
+    out[lead[1:] - 1] = end
+    for k in range(int(digits.max(initial=0))):
+        own = digits > k
+        out[lead[1:][own] - 2 - k] = value[own] // 10**k % 10 + 48
+    return out, lead[before_a + before_b]
 
 
 class Pieces:
@@ -98,29 +147,30 @@ class Pieces:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = Encoder(path_a)
+        self.a.added = []  # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {chr(c): b for b, c in enumerate(byte_letters().tolist())}
-        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        names = [self.a.library.id_to_token(i) or "" for i in range(self.a.library.get_vocab_size())]
         bytes_a = [bytes(byte_of[c] for c in x) if all(c in byte_of for c in x) else x.encode() for x in names]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         # A piece of b with a space inside could join what is cut apart; then texts stay whole.
         self.cut = not any("▁" in x.lstrip("▁") for x in names)
         self.transducer = Transducer(bytes_a, bytes_b)
+        self.size_a = np.array([len(x) for x in bytes_a])
+        self.first_a, self.flat_a = np.cumsum(self.size_a) - self.size_a, np.frombuffer(b"".join(bytes_a), np.uint8)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.bytes = np.zeros(0, np.uint64), 0
-        self.rows = np.zeros(0, np.int64)
-        self.sums = np.zeros((1024, 4), np.int64)
+        self.keys, self.rows, self.bytes = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+        self.sums = np.zeros((1024, 4), np.int32)
         self.first = np.zeros(1025, np.int64)
-        self.pool = np.zeros(4096, np.int64)
+        self.pool = np.zeros(4096, np.int32)
         self.text: list[bytes] = []
-        self.pair: dict[tuple[int, int], int] = {}
+        # Linked id pairs by number, and their ascending order.
+        self.pair, self.sorted, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.transducer.clear()
 
     def starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -136,44 +186,63 @@ class Pieces:
         flag[head] = True
         return np.flatnonzero(flag)
 
+    def numbers(self, pairs: np.ndarray) -> np.ndarray:
+        """The worker's numbers of linked pairs; new ones get the next."""
+        known, back = np.unique(pairs, return_inverse=True)
+        place = np.searchsorted(self.sorted, known)
+        inside = place < len(self.sorted)
+        fresh = ~inside
+        fresh[inside] = self.sorted[place[inside]] != known[inside]
+        new = known[fresh]
+        self.sorted, self.number = np.insert(self.sorted, place[fresh], new), np.insert(self.number, place[fresh], len(self.pair) + np.arange(len(new)))
+        self.pair = np.concatenate((self.pair, new))
+        return self.number[np.searchsorted(self.sorted, known)][back]
+
     def learn(self, texts: list[bytes], keys: np.ndarray) -> None:
         """Encode and align new pieces; each begins with a space that b adds by itself."""
-        plain = [x.decode() for x in texts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(plain, add_special_tokens=False)]
-        ids_b = self.b.encode([x[1:] for x in plain], num_threads=1)
         n, m = len(self.text), len(texts)
+        plain = [x.decode() for x in texts]
+        a, n_a = self.a.encode(pa.array(plain, pa.large_string()))
+        self.a.clear()  # pieces aren't seen twice
+        got = self.b.encode([x[1:] for x in plain], num_threads=1)
+        n_b = np.array([len(x) for x in got], np.int64)
+        a, b = a.astype(np.int64), np.fromiter(chain.from_iterable(got), np.int64, int(n_b.sum()))
+        first_a, first_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
+        good, last_a, last_b, whose, links = self.transducer.run(a, first_a, b, first_b)
+        # The transducer says that a's bytes are b's; they must be the piece's, too.
+        own = np.frombuffer(b"".join(texts), np.uint8)
+        lengths = np.array([len(x) for x in texts])
+        size = self.size_a[a]
+        total = np.concatenate(([0], np.cumsum(size)))
+        good &= total[first_a[1:]] - total[first_a[:-1]] == lengths
+        of_a = np.repeat(np.arange(m), n_a)
+        joined = self.flat_a[np.repeat(self.first_a[a] - total[:-1], size) + np.arange(total[-1])][np.repeat(good[of_a], size)]
+        differs = joined != own[np.repeat(good, lengths)]
+        good[np.unique(np.repeat(np.flatnonzero(good), lengths[good])[differs])] = False
+        keep_a, keep_b, keep = np.repeat(good, n_a), np.repeat(good, n_b), good[whose]
+        n_a, n_b = n_a * good, n_b * good
+        groups = np.bincount(of_a[keep_a & last_a], minlength=m)
+        shown, at = written(a[keep_a], last_a[keep_a], b[keep_b], last_b[keep_b])
+        at = at[np.concatenate(([0], np.cumsum(groups)))].tolist()
+        data = shown.tobytes()
+        self.text += [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         while len(self.sums) < n + m:
             self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
             self.first = np.concatenate((self.first, np.zeros(len(self.first) - 1, np.int64)))
-        linked: list[int] = []
-        for k, (text, a, b) in enumerate(zip(texts, ids_a, ids_b, strict=True)):
-            whole = b"".join(map(self.transducer.tokens[0].__getitem__, a)) == text and b"".join(map(self.transducer.tokens[1].__getitem__, b)) == text
-            got = self.transducer.groups(a, b) if whole else None
-            if got is None:
-                self.sums[n + k, 3] = 1
-                self.text.append(b"")
-            else:
-                groups, links = got
-                self.sums[n + k] = len(a), len(b), len(groups), 0
-                self.text.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-                pair = self.pair
-                linked.extend(pair.setdefault(x, len(pair)) for x in links)
-            self.first[n + k + 1] = self.first[n] + len(linked)
+        self.sums[n : n + m] = np.stack([n_a, n_b, groups, ~good], axis=1)
+        linked = self.numbers(links[keep][np.argsort(whose[keep], kind="stable")])
         used = int(self.first[n])
+        self.first[n + 1 : n + m + 1] = used + np.cumsum(np.bincount(whose[keep], minlength=m))
         while len(self.pool) < used + len(linked):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         self.pool[used : used + len(linked)] = linked
-        self.bytes += sum(map(len, texts))
+        self.bytes += len(own)
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.rows = np.insert(self.rows, place, np.arange(n, n + m))
 
-    def pair_keys(self) -> np.ndarray:
-        pairs = np.array(list(self.pair), np.int64).reshape(-1, 2)
-        return (pairs[:, 0] << 32) | pairs[:, 1]
-
     def full(self) -> bool:
-        return len(self.text) > MOST_PIECES or self.bytes > MOST_BYTES or len(self.transducer.moves) > 4 * MOST_PIECES
+        return len(self.text) > MOST_PIECES or self.bytes > MOST_BYTES or len(self.transducer.keys) > MOST_PIECES
 
     def of(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all pieces of these texts, and the bounds of texts in them."""
@@ -194,7 +263,7 @@ class Pieces:
             data = raw.tobytes()
             self.learn([data[a:b] for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)], known[new])
             place = np.searchsorted(self.keys, known)
-        return self.rows[place][code], np.searchsorted(starts, at)
+        return self.rows[place][code].astype(np.int64), np.searchsorted(starts, at)
 
 
 _PIECES: dict[tuple[str, str], Pieces] = {}
@@ -232,7 +301,7 @@ class Block:
         own = self.own
         raw, at = with_space(column)
         rows, bounds = own.of(raw, at) if len(raw) else (np.zeros(0, np.int64), np.zeros(len(at), np.int64))
-        total = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(own.sums[rows], axis=0)))
+        total = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(own.sums[rows], axis=0, dtype=np.int64)))
         sums = total[bounds[1:]] - total[bounds[:-1]]
         good = (sums[:, 3] == 0) & (sums[:, 0] > 0)
         sums[~good] = 0
@@ -246,7 +315,7 @@ class Block:
         self.links.append((np.bincount(keys // width, minlength=len(ids)), keys % width, often))
         text, order = own.text, rows.tolist()
         for ok, i, j in zip(good.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            self.digests.append(hashlib.sha256(b";".join([text[k] for k in order[i:j]])).digest() if ok else bytes(32))
+            self.digests.append(hashlib.sha256(b"".join([text[k] for k in order[i:j]])[:-1]).digest() if ok else bytes(32))
         sums[:, 3] = good
         self.ids.append(ids)
         self.sums.append(sums)
@@ -266,7 +335,7 @@ class Block:
         id_bytes, sizes, planes = encode_chunk(np.concatenate((step, often)).astype("<u4"))
         packed = [np.concatenate(self.ids).astype("<i8").tobytes(), np.concatenate(self.sums).astype("<i8").tobytes(), b"".join(self.digests), n_pairs.astype("<u4").tobytes(), sizes.tobytes(), planes]
         columns = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([id_bytes], pa.int32())]
-        columns += [pa.array([self.own.pair_keys()[local]], pa.list_(pa.int64())), pa.array([holders[local].astype(np.int32)], pa.list_(pa.int32()))]
+        columns += [pa.array([self.own.pair[local]], pa.list_(pa.int64())), pa.array([holders[local].astype(np.int32)], pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
 
 
