@@ -158,6 +158,7 @@ class Pieces:
         bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         # A piece of b with a space inside could join what is cut apart; then texts stay whole.
         self.cut = not any("▁" in x.lstrip("▁") for x in names)
+        self.blank = [self.b.piece_to_id("▁")]
         self.transducer = Transducer(bytes_a, bytes_b)
         self.size_a = np.array([len(x) for x in bytes_a])
         self.first_a, self.flat_a = np.cumsum(self.size_a) - self.size_a, np.frombuffer(b"".join(bytes_a), np.uint8)
@@ -204,7 +205,8 @@ class Pieces:
         plain = [x.decode() for x in texts]
         a, n_a = self.a.encode(pa.array(plain, pa.large_string()))
         self.a.clear()  # pieces aren't seen twice
-        got = self.b.encode([x[1:] for x in plain], num_threads=1)
+        # Of nothing b makes nothing, so the space at a text's end is its token for a space.
+        got = [x if t != " " else self.blank for x, t in zip(self.b.encode([x[1:] for x in plain], num_threads=1), plain, strict=True)]
         n_b = np.array([len(x) for x in got], np.int64)
         a, b = a.astype(np.int64), np.fromiter(chain.from_iterable(got), np.int64, int(n_b.sum()))
         first_a, first_b = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))

@@ -6,8 +6,8 @@ alphabet, the number of runs above and below its middle, and the correlation of
 sum of their logarithms is small for random tokens. How small it gets by chance for text that is no
 secret is known from a null model: chains of symbols with the neighbour frequencies of the whole
 corpus, of the same encoding and length, as short chains look random more often. Benjamini and
-Hochberg's procedure on these p-values, in each class of encoding and length, says which candidates
-are reported.
+Hochberg's procedure on these p-values of distinct tokens, in each class of encoding and length, and
+the battery itself, which must not reject that the token is random, say which candidates are reported.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import table
-from .textbytes import flat, slices, spans_of
+from .textbytes import flat, hash_spans, slices, spans_of
 
 #: The patterns of known kinds in the order of their listing, and the least size of what they catch.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -59,18 +59,28 @@ _HEX = PLACES[0] >= 0
 
 #: Lengths at which classes begin; the null model of a class has chains of its least length.
 LENGTHS = np.array([20, 24, 28, 32, 40, 48, 64, 96, 128])
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base string, candidates array<struct<start:long,end:long,stratum:int,t:double>>, pairs array<struct<stratum:int,pair:int,n:long>>"
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base string, candidates array<struct<start:long,end:long,stratum:int,token:long,t:double>>, pairs array<struct<stratum:int,pair:int,n:long>>"
 
 
 @dataclass(frozen=True)
 class Battery:
-    """Share of false reports allowed in each class, and chains drawn for each class's null model."""
+    """Share of false reports allowed in each class, of random tokens that the battery may miss, and chains of a null model."""
 
     rate: float = 0.05
+    missed: float = 0.01
     chains: int = 1 << 15
     seed: int = 7
 
 
+def most_random(missed: float) -> float:
+    """The value that Fisher's statistic of three tests of random symbols exceeds with this probability."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        x = (low + high) / 2
+        low, high = (x, high) if math.exp(-x / 2) * (1 + x / 2 + x * x / 8) > missed else (low, x)
+    return high
+
+
 def tail(z: np.ndarray) -> np.ndarray:
     """Probability that a standard normal is above z."""
     return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in z.tolist()])
@@ -163,7 +173,7 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """A row per document with its fixed spans and candidates; a last row per task (null base) has the neighbour counts."""
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("t", pa.float64())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("token", pa.int64()), ("t", pa.float64())]))
     pair = pa.list_(pa.struct([("stratum", pa.int32()), ("pair", pa.int32()), ("n", pa.int64())]))
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base", "candidates", "pairs"]
 
@@ -179,6 +189,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         starts, ends = starts[long], ends[long]
         hexes = np.searchsorted(starts, at)
         first, last, stratum, t = candidates(raw, at)
+        token = hash_spans(raw, first, last).view(np.int64)
         of = np.searchsorted(first, at)
         counts, base, found = [], [], []
         for i in range(part.num_rows):
@@ -190,7 +201,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             shift = int(points[a])
             base.append(",".join(f"{KINDS[k]}:{int(points[a + s]) - shift}:{int(points[a + e]) - shift}" for s, k, e in sorted(text)))
             j = slice(of[i], of[i + 1])
-            found.append([{"start": int(points[s]) - shift, "end": int(points[e]) - shift, "stratum": k, "t": v} for s, e, k, v in zip(first[j].tolist(), last[j].tolist(), stratum[j].tolist(), t[j].tolist(), strict=True)])
+            found.append([{"start": int(points[s]) - shift, "end": int(points[e]) - shift, "stratum": k, "token": h, "t": v} for s, e, k, h, v in zip(first[j].tolist(), last[j].tolist(), stratum[j].tolist(), token[j].tolist(), t[j].tolist(), strict=True)])
         sums = np.array(counts, np.int64).reshape(-1, 3)
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(sums[:, k]) for k in range(3)), pa.array(base, pa.string()), pa.array(found, span), pa.nulls(part.num_rows, pair)], names=names)
 
@@ -262,7 +273,7 @@ def secrets(docs: DataFrame, settings: Battery = Battery()) -> DataFrame:
     counts behind the null model are taken over all texts.
     """
     stored = table(scanned(docs), "scanned")
-    each = stored.where("size(candidates) > 0").select(F.explode("candidates").alias("c")).select("c.stratum", "c.t")
+    each = stored.where("size(candidates) > 0").select(F.explode("candidates").alias("c")).select("c.stratum", "c.token", "c.t").distinct().drop("token")
     neighbours_ = stored.where("base is null").select(F.explode("pairs").alias("p")).groupBy("p.stratum", "p.pair").agg(F.sum("p.n").alias("n"))
     null = null_model(neighbours_.unionByName(each.select("stratum").distinct().selectExpr("stratum", "cast(null as int) AS pair", "cast(null as long) AS n")), settings)
     held = docs.sparkSession.sparkContext.broadcast(null)
@@ -282,7 +293,7 @@ def secrets(docs: DataFrame, settings: Battery = Battery()) -> DataFrame:
     upto = Window.partitionBy("stratum").orderBy("rank")
     p = (F.col("rank") + 1) / F.lit(settings.chains + 1.0)
     passed = steps.withColumns({"seen": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("stratum"))}).where(p <= settings.rate * F.col("seen") / F.col("all"))
-    limits = {r["stratum"]: r["t"] for r in passed.groupBy("stratum").agg(F.max("t").alias("t")).collect()}  # one per class
+    limits = {r["stratum"]: min(r["t"], most_random(settings.missed)) for r in passed.groupBy("stratum").agg(F.max("t").alias("t")).collect()}  # one per class
     limit = F.create_map(*(F.lit(v) for s, t in sorted(limits.items()) for v in (s, t))) if limits else None
     random = F.filter("candidates", lambda c: c["t"] <= limit[c["stratum"]]) if limits else F.filter("candidates", lambda c: F.lit(False))
     number = {k: i for i, k in enumerate(KINDS)}
