@@ -310,13 +310,12 @@ def model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     other = texts.orderBy("h", "doc_id").limit(fit.unlabelled).select("doc_id", F.lit(0).alias("positive"))
     chosen = table(positive.union(other).groupBy("doc_id").agg(F.max("positive").alias("p"), (F.min("positive") == 0).alias("u")), "chosen")  # at most the two bounds
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    mark = F.shiftrightunsigned(F.xxhash64("text"), 34)  # sums of it tell sets of texts apart
-    sample = table(texts_of.join(F.broadcast(chosen), "doc_id").select("p", "u", "text", mark.alias("mark")), "sample")
+    sample = table(texts_of.join(F.broadcast(chosen), "doc_id").select("p", "u", "text", F.xxhash64("text").alias("h")), "sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in slices(batch, "text", SLICE):
-                unique, sums = frequencies(own.column(2), [own.column(0).to_numpy() == 1, own.column(1).to_numpy(zero_copy_only=False), own.column(3).to_numpy()])
+                unique, sums = frequencies(own.column(2), [own.column(0).to_numpy() == 1, own.column(1).to_numpy(zero_copy_only=False), own.column(3).to_numpy() >> 34 & (1 << 30) - 1])  # sums of the last tell sets of texts apart
                 yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *map(pa.array, sums)], names=["term", "p", "u", "mark"])
 
     n_p, n_u = (int(x or 0) for x in sample.agg(F.sum("p"), F.sum(F.col("u").cast("int"))).first())
@@ -341,11 +340,11 @@ def model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
                 text, place, count, words = entries(own.column(2), wanted.value)
                 bounds = pa.array(np.searchsorted(text, np.arange(own.num_rows + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (place, count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(words, pa.int64()), *lists, pa.array(Words(own.column(2)).counts)], names=["p", "u", "words", "place", "count", "order"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(words, pa.int64()), *lists, own.column(3)], names=["p", "u", "words", "place", "count", "h"])
 
-    rows = sample.mapInArrow(features, "p int, u boolean, words long, place array<int>, count array<int>, order long").toArrow()
-    # A fixed order that owes nothing to the partitions.
-    rows = rows.sort_by([("words", "ascending")])
+    rows = sample.mapInArrow(features, "p int, u boolean, words long, place array<int>, count array<int>, h long").toArrow()
+    # The texts' hashes order them, as they are distinct; partitions and retries change nothing.
+    rows = rows.sort_by([("h", "ascending")])
     drop(texts, chosen, sample)
     n = np.diff(rows.column("place").combine_chunks().offsets.to_numpy())
     place, count = (rows.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("place", "count"))
