@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import flows
 from ..operators import pairing as P
 from ..sources.captures import tables
 from .registry import query
@@ -91,3 +92,31 @@ def sticky_first_last(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
     at = F.struct("ts", "event_id")
     return events.groupBy("user_id").agg(F.min_by("event_type", at).alias("first_kind"), F.max_by("event_type", at).alias("last_kind"))
+
+
+_LIFE = """told AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'tx' WHEN event_type <> 'error' THEN 'rx' END AS side, CASE WHEN event_type <> 'error' THEN coalesce(props, '') ELSE '' END AS data,
+  CASE WHEN lag(event_type) OVER w = 'error' OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ lived AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM told),
+ whole AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, coalesce(string_agg(data, '' ORDER BY ts, event_id) FILTER (side = 'tx'), '') AS tx, coalesce(string_agg(data, '' ORDER BY ts, event_id) FILTER (side = 'rx'), '') AS rx, bool_or(event_type = 'error') AS ended FROM lived GROUP BY user_id, life)"""
+
+
+@query(f"WITH {_LIFE} SELECT user_id, first_ts, last_ts, right(tx, 60) AS tx, right(rx, 60) AS rx, CAST(length(tx) AS BIGINT) AS seen_tx, CAST(length(rx) AS BIGINT) AS seen_rx, ended FROM whole WHERE length(tx) + length(rx) > 0")
+def flow_lives(spark, sf_dir):
+    """Users are connections, errors their ends; the last 60 bytes of each side are kept."""
+    (events,) = tables(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    side = F.when(kind.isin("click", "view"), "tx").when(kind != "error", "rx")
+    data = F.when(kind != "error", F.encode(F.coalesce("props", F.lit("")), "UTF-8"))
+    packets = events.select("user_id", "ts", F.col("event_id").alias("seq"), side.alias("direction"), data.alias("data"), (kind == "error").alias("ended"))
+    found = flows.lives(packets, ["user_id"], 60, "6 hours")
+    return found.withColumns({"tx": F.decode("tx", "UTF-8"), "rx": F.decode("rx", "UTF-8")})
+
+
+@query("SELECT conv_id, md5(right(hex(encode(tx)), 3000)) AS tx_md5, md5(right(hex(encode(rx)), 3000)) AS rx_md5 FROM (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'user'), '') AS tx, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'user'), '') AS rx FROM conversations GROUP BY conv_id)")
+def bounded_streams(spark, sf_dir):
+    """Conversations as flows, of which the last 1,500 bytes of each side are put together."""
+    (talk,) = tables(spark, sf_dir, "conversations")
+    side = F.when(F.col("role") == "user", "tx").otherwise("rx")
+    packets = talk.select(F.col("conv_id").alias("flow"), F.col("turn").alias("ts_ns"), F.lit(0).alias("seq"), side.alias("direction"), F.lit("10.0.0.1:99").alias("dst"), F.encode("text", "UTF-8").alias("data"))
+    kept = flows.streams(packets, most=1500)
+    return kept.select(F.col("flow").alias("conv_id"), F.md5(F.hex("tx")).alias("tx_md5"), F.md5(F.hex("rx")).alias("rx_md5"))
