@@ -24,17 +24,27 @@ def segment_class(segment: Column) -> Column:
 PLACEHOLDERS = {"integer": "{id}", "uuid": "{uuid}", "ulid": "{ulid}", "hash": "{hash}", "opaque": "{opaque}"}
 
 
+def value_kinds(value: Column) -> dict[str, Column]:
+    """Whether a text is of each kind, from the narrowest kind to the widest."""
+    return {
+        "integer": value.rlike(r"^[+-]?[0-9]+$") & value.try_cast("long").isNotNull(),
+        "number": value.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"),
+        "boolean": F.lower(value).isin("true", "false", "1", "0", "yes", "no", "on", "off"),
+        "uuid": value.rlike(UUID),
+    }
+
+
+def narrowest(holds: dict[str, Column]) -> Column:
+    """The first kind that holds, else string."""
+    out = F.lit("string")
+    for name, hold in reversed(holds.items()):
+        out = F.when(hold, name).otherwise(out)
+    return out
+
+
 def values_type(value: Column) -> Column:
     """An aggregate: the narrowest type that all values of a group have."""
-    truth = F.lower(value).isin("true", "false", "1", "0", "yes", "no", "on", "off")
-    return (
-        F.when(F.count(value) == 0, "unknown")
-        .when(F.bool_and(value.rlike(r"^[+-]?[0-9]+$") & value.try_cast("long").isNotNull()), "integer")
-        .when(F.bool_and(value.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$")), "number")
-        .when(F.bool_and(truth), "boolean")
-        .when(F.bool_and(value.rlike(UUID)), "uuid")
-        .otherwise("string")
-    )
+    return F.when(F.count(value) == 0, "unknown").otherwise(narrowest({k: F.bool_and(x) for k, x in value_kinds(value).items()}))
 
 
 #: Fixed value: names whose values are kept out of examples.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import SECRET_KEY
 from ..functions.text import path_of, query_of, url_decoded, url_host
+from ..operators import catalogue
 from ..operators import endpoints as P
 from ..sources.captures import tables
 from .registry import query
@@ -142,3 +143,51 @@ def enum_detection(spark, sf_dir):
 def url_decode(spark, sf_dir):
     (pages,) = tables(spark, sf_dir, "pages")
     return pages.select("page_id", url_decoded(query_of(F.col("url"))).alias("decoded"))
+
+
+_SENT = "sent AS (SELECT page_id, page_id % 7 * 100 + 200 AS status, CAST(page_id % 97 AS DOUBLE) AS latency, page_id % 5 AS request_bytes FROM pages)"
+
+
+def _calls(spark, sf_dir):
+    own = P.requests(tables(spark, sf_dir, "pages")[0].select("page_id", "url", F.length("html").cast("long").alias("response_bytes")))
+    number = F.col("page_id")
+    return own.withColumns({"ts": number, "status": number % 7 * 100 + 200, "latency": (number % 97).cast("double"), "request_bytes": number % 5})
+
+
+def _grown(spark, sf_dir):
+    """A catalogue merged from three parts of the pages."""
+    calls = _calls(spark, sf_dir)
+    return catalogue.merged(*(catalogue.part(calls.where(F.col("page_id") % 3 == k)) for k in range(3)))
+
+
+@query(
+    f"""WITH {_BASE}, {_TEMPLATES}, {_SENT}, each AS (SELECT host, shape, page_id, size, status, latency, request_bytes FROM shaped JOIN sent USING (page_id)),
+ ok AS (SELECT host, shape, string_agg(status || ':' || n, ',' ORDER BY status) AS statuses FROM (SELECT host, shape, status, count(*) AS n FROM each GROUP BY ALL) GROUP BY ALL)
+ SELECT host, shape, template, count(*) AS calls, min(page_id) AS first_seen, max(page_id) AS last_seen, CAST(coalesce(sum(request_bytes) FILTER (request_bytes > 0) // count(*) FILTER (request_bytes > 0), 0) AS BIGINT) AS avg_request_bytes,
+  CAST(coalesce(sum(size) FILTER (size > 0) // count(*) FILTER (size > 0), 0) AS BIGINT) AS avg_response_bytes, any_value(statuses) AS statuses, quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.99) AS p99
+ FROM each JOIN tpl USING (host, shape) JOIN ok USING (host, shape) GROUP BY host, shape, template"""
+)
+def catalogue_endpoints(spark, sf_dir):
+    found = catalogue.endpoints(_grown(spark, sf_dir))
+    pairs = F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
+    return found.withColumn("statuses", F.array_join(pairs, ","))
+
+
+@query(
+    f"""WITH {_BASE}, calls AS (SELECT host, shape, count(*) AS calls FROM shaped GROUP BY ALL), pairs AS (SELECT host, shape, unnest(string_split(query, '&')) AS pair FROM shaped WHERE query IS NOT NULL),
+ named AS (SELECT host, shape, string_split(pair, '=')[1] AS name, CASE WHEN contains(pair, '=') THEN substr(pair, instr(pair, '=') + 1) ELSE '' END AS value FROM pairs WHERE pair <> '')
+ SELECT host, shape, name, count(*) AS samples, CASE WHEN bool_and(regexp_full_match(value, '[+-]?[0-9]+')) THEN 'integer' WHEN bool_and(lower(value) IN ('true','false','1','0','yes','no','on','off')) THEN 'boolean' ELSE 'string' END AS type,
+  count(*) >= any_value(calls) AS required, CASE WHEN regexp_matches(name, '{SECRET_KEY}') THEN '<redacted>' ELSE max(value) END AS example FROM named JOIN calls USING (host, shape) GROUP BY host, shape, name"""
+)
+def catalogue_params(spark, sf_dir):
+    """Counts of distinct values are estimates, so they are left to a test of their error."""
+    return catalogue.params(_grown(spark, sf_dir)).drop("distinct_values")
+
+
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def sketched_latency(spark, sf_dir):
+    """Quantiles from sketches per user that are merged by event type; exact, as a type has fewer values than KLL keeps."""
+    (events,) = tables(spark, sf_dir, "events")
+    whole = catalogue.merged_sketches(catalogue.sketched(events, ["event_type", "user_id"], "value"), ["event_type"])
+    p50, p99 = catalogue.quantiles(F.col("sketch"), 0.5, 0.99)
+    return whole.select("event_type", "n", p50.alias("p50"), p99.alias("p99"))
