@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.operators import catalogue, flows
+from wiretide.operators import catalogue, flows, processes
 from wiretide.operators.endpoints import requests
 from wiretide.streaming import lives
 
@@ -153,3 +153,38 @@ def test_a_stream_folds_its_batches(spark, tmp_path):
     query = stream.writeStream.foreachBatch(lambda frame, batch: catalogue.fold(frame, batch, f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
     assert query.awaitTermination(200)
     assert catalogue.versions(spark, f"{tmp_path}/out") == [2, 3] and facts(catalogue.load(spark, f"{tmp_path}/out")) == facts(catalogue.part(requests(own)))
+
+
+def below(edges, roots):
+    out, todo = set(roots), list(roots)
+    down = {}
+    for a, b in edges:
+        down.setdefault(a, []).append(b)
+    while todo:
+        for x in down.get(todo.pop(), []):
+            if x not in out:
+                out.add(x)
+                todo.append(x)
+    return out
+
+
+def descended(spark, edges, roots):
+    forks, start = spark.createDataFrame(edges, "parent long, child long"), spark.createDataFrame([(r,) for r in roots], "pid long")
+    return sorted(r[0] for r in processes.descendants(forks, start).collect())
+
+
+def test_a_chain_of_five_thousand_and_a_cycle(spark):
+    chain = [(i, i + 1) for i in range(5000)]
+    assert descended(spark, chain, [100]) == list(range(100, 5001))
+    ring = [(i, (i + 1) % 37) for i in range(37)] + [(5, 100), (100, 101)]
+    assert descended(spark, ring, [36]) == sorted(below(ring, [36]))
+    assert descended(spark, [(1, 1), (1, None), (None, 2)], [1, None, 1]) == [1]
+    assert descended(spark, [], [4]) == [4] and descended(spark, chain[:3], []) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_descendants_of_any_graph(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(rng.choice([30, 60, 90]))]
+    roots = [rng.randint(0, 60) for _ in range(2)]
+    assert descended(spark, edges + edges[:5], roots) == sorted(below(edges, roots))

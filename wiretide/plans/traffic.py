@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import edges as E
+from ..operators import processes
 from ..operators import report as R
 from ..sources.captures import as_events, tables
 from .registry import query
@@ -183,7 +184,20 @@ def known_semi(spark, sf_dir):
     "WITH RECURSIVE fork(parent, child) AS (SELECT n_regionkey, 100 + n_nationkey FROM nation UNION ALL SELECT 100 + c_nationkey, 1000 + c_custkey FROM customer), down(pid) AS (SELECT 2::BIGINT UNION SELECT f.child::BIGINT FROM fork f JOIN down d ON f.parent = d.pid) SELECT pid FROM down"
 )
 def fork_closure(spark, sf_dir):
-    """All descendants of process 2, level by level; the depth of a process tree bounds the rounds."""
+    """All descendants of process 2."""
     nation, customer = tables(spark, sf_dir, "nation", "customer")
-    nation.select(F.col("n_regionkey").cast("long").alias("parent"), (F.col("n_nationkey") + 100).cast("long").alias("child")).union(customer.select((F.col("c_nationkey") + 100).cast("long"), F.col("c_custkey") + 1000)).createOrReplaceTempView("fork")
-    return spark.sql("WITH RECURSIVE down(pid) AS (SELECT CAST(2 AS BIGINT) UNION ALL SELECT f.child FROM fork f JOIN down d ON f.parent = d.pid) SELECT DISTINCT pid FROM down")
+    first = nation.select(F.col("n_regionkey").alias("parent"), (F.col("n_nationkey") + 100).alias("child"))
+    forks = first.union(customer.select((F.col("c_nationkey") + 100).alias("parent"), (F.col("c_custkey") + 1000).alias("child")))
+    return processes.descendants(forks, spark.range(2, 3).withColumnRenamed("id", "pid"))
+
+
+@query(
+    """WITH RECURSIVE fork(parent, child) AS (SELECT l_suppkey % 50, 1000 + l_partkey FROM lineitem UNION SELECT 1000 + l_partkey, 100000 + l_orderkey FROM lineitem WHERE l_linenumber = 1 UNION SELECT 100000 + l_orderkey, l_suppkey % 50 FROM lineitem WHERE l_linenumber = 7),
+ down(pid) AS (SELECT 3::BIGINT UNION SELECT f.child::BIGINT FROM fork f JOIN down d ON f.parent = d.pid) SELECT pid FROM down"""
+)
+def fork_cycles(spark, sf_dir):
+    """Descendants in a graph with cycles and many parents for a process."""
+    (items,) = tables(spark, sf_dir, "lineitem")
+    part, order, supplier = F.col("l_partkey") + 1000, F.col("l_orderkey") + 100000, F.col("l_suppkey") % 50
+    forks = items.select(supplier.alias("parent"), part.alias("child")).union(items.where("l_linenumber = 1").select(part, order)).union(items.where("l_linenumber = 7").select(order, supplier))
+    return processes.descendants(forks, spark.range(3, 4).withColumnRenamed("id", "pid"))
