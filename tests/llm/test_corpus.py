@@ -168,10 +168,16 @@ def covered_by_order(rows, n):
     return out
 
 
-def reported(spans):
-    out = {}
-    for r in spans.collect():
-        assert r["other_id"] != r["doc_id"]
+def reported(spans, rows):
+    """Words by document and order; every passage of a span must stand in its partner, and no span may go on."""
+    out, text = {}, {doc: words(t) for doc, t in rows}
+    passages = {doc: {tuple(w[i : i + 50]) for i in range(len(w) - 49)} for doc, w in text.items()}
+    found = spans.collect()
+    assert len({(r["doc_id"], r["later"], r["other_id"], r["start_word"]) for r in found}) == len(found)
+    for r in found:
+        assert (r["other_id"] < r["doc_id"]) == r["later"] and r["other_id"] != r["doc_id"]
+        own = text[r["doc_id"]]
+        assert all(tuple(own[i : i + 50]) in passages[r["other_id"]] for i in range(r["start_word"], r["end_word"] - 49))
         out.setdefault((r["doc_id"], r["later"]), set()).update(range(r["start_word"], r["end_word"]))
     return out
 
@@ -194,7 +200,7 @@ def test_repeats_in_large_classes(spark, monkeypatch, chunk):
         texts.append(near)
     rng.shuffle(texts)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    got = reported(suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 50))
+    got = reported(suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 50), rows)
     assert got == covered_by_order(rows, 50)
 
 
@@ -206,11 +212,26 @@ def test_repeats_many_times_in_one_document(spark, often_first):
     once, often = say(20) + passage + say(20), [w for _ in range(5) for w in say(20) + passage]
     rows = [(i, " ".join(t)) for i, t in enumerate([often, once] if often_first else [once, often])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = reported(suffixes.repeats(docs, 50))
+    got = reported(suffixes.repeats(docs, 50), rows)
     assert got == covered_by_order(rows, 50)
     assert {k: len(v) for k, v in got.items()} == ({(0, False): 300, (1, True): 60} if often_first else {(0, False): 60, (1, True): 300})
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 2])
+def test_spans_have_the_partner_that_has_them(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    w = [f"w{i}" for i in range(119)]
+    turned = [f"p{i % 3}" for i in range(90)]
+    rows = [(1, w[:60]), (2, w[50:]), (3, w), (4, turned), (5, ["x", *turned[:50], "y"])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    found = suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    assert reported(found, rows) == covered_by_order(rows, 50)
+    of = {(r["doc_id"], r["other_id"], r["start_word"], r["end_word"]) for r in found.collect()}
+    assert {x for x in of if x[0] == 3} == {(3, 1, 0, 60), (3, 2, 50, 119)}
+    left = {r["doc_id"]: r["text"].split() for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1: w[:60], 2: w[50:], 4: turned, 5: ["x", "y"]}
+
+
 def test_cutting_keeps_the_first_and_the_rest(spark, corpus):
     rows, docs = corpus
     left = {r["doc_id"]: r for r in suffixes.without_repeats(docs, 50).collect()}

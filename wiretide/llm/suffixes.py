@@ -215,21 +215,22 @@ def links(rows: DataFrame, min_words: int) -> DataFrame:
         size = np.diff(np.append(heads, len(at)))
         least, most = np.repeat(row[heads], size), np.repeat(row[heads + size - 1], size)
         for later, partner in ((True, least), (False, most)):
-            shared_by, other = np.zeros(len(whole), bool), np.full(len(whole), np.iinfo(np.int64).max)
-            shared_by[at] = who[partner] != who[row]
-            other[at] = np.where(shared_by[at], doc[partner], other[at])
-            shared_by, other = shared_by.reshape(-1, width), other.reshape(-1, width)
-            hit = np.flatnonzero(shared_by.any(axis=1))
-            before = width - 1 - np.argmax(shared_by[hit, ::-1], axis=1)
-            least_before = np.argmax(shared_by[hit], axis=1)
-            yield named(rows, hit, other[hit].min(axis=1), pos[hit] - before, pos[hit] - least_before + min_words, later, None)
+            other = np.full(len(whole), -1)
+            other[at] = np.where(who[partner] != who[row], partner, -1)
+            # Neighbouring passages of a suffix with the same partner are one link; item i begins i words before.
+            of = np.repeat(np.arange(len(pos)), width)
+            cut = np.concatenate(([True], (other[1:] != other[:-1]) | (of[1:] != of[:-1])))
+            head, tail = np.flatnonzero(cut), np.flatnonzero(np.append(cut[1:], True))
+            hit = other[head] >= 0
+            head, tail = head[hit], tail[hit]
+            yield named(rows, of[head], doc[other[head]], pos[of[head]] - tail % width, pos[of[head]] - head % width + min_words, later, None)
         bound = np.flatnonzero(np.isin(key[row], np.array(sorted(open_keys), np.int64)) & ((who[row] == who[least]) | (who[row] == who[most])))
-        if len(bound):  # overlapping occurrences of a passage in one document are one row
+        if len(bound):  # occurrences of a passage one word apart are one row
             own = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (who[1:] != who[:-1]))))[row[bound]]
             first, of = pos[row[bound]] - at[bound] % width, np.repeat(np.arange(len(heads)), size)[bound]
             order = np.lexsort((first, own, of))
             own, first, of = own[order], first[order], of[order]
-            fresh = np.concatenate(([True], (of[1:] != of[:-1]) | (own[1:] != own[:-1]) | (first[1:] >= first[:-1] + min_words)))
+            fresh = np.concatenate(([True], (of[1:] != of[:-1]) | (own[1:] != own[:-1]) | (first[1:] > first[:-1] + 1)))
             head, tail = np.flatnonzero(fresh), np.flatnonzero(np.append(fresh[1:], True))
             chosen = bound[order[head]]
             yield named(rows, row[chosen], None, first[head], first[tail] + min_words, None, found[chosen].view(np.int64))
@@ -265,23 +266,31 @@ def across(found: DataFrame) -> DataFrame:
     return side("least", True).unionByName(side("most", False))
 
 
+def islands(found: DataFrame, keys: list[str], first: str, last: str, apart: int) -> DataFrame:
+    """Adds ``island``: what begins less than ``apart`` after the reach of those before has their number."""
+    own = Window.partitionBy(*keys).orderBy(first, last)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col(first) >= F.max(last).over(before) + apart
+    return found.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def merged(found: DataFrame, min_words: int) -> DataFrame:
-    """Overlapping matches of a document become one span; apart for first and later occurrences."""
-    own = Window.partitionBy("uid", "later").orderBy("first", "last")
-    reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("first") >= reach), 1).otherwise(0)
-    island = found.select("uid", "doc_id", "other_id", "first", "last", "later").withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("uid", "later", "island").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("other_id").alias("other_id"))
+    """One span per run of neighbouring passages with the same partner; apart for first and later occurrences."""
+    keys = ["uid", "later", "other_id"]
+    runs = islands(found.select(*keys, "doc_id", "first", "last"), keys, "first", "last", 2 - min_words)
+    return runs.groupBy(*keys, "island").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Passages of at least ``min_words`` words that stand in more than one document.
 
-    One row per passage and document: word and character spans, whether a document with a lower
-    id has it already (``later``), and one other document that has it. Words are runs of ASCII
-    letters and digits and non-ASCII characters, compared without ASCII case. Null and short texts
-    have no rows; equal rows count as one document; further columns are ignored. Repeats within
-    one document alone are not reported.
+    One row per document, partner and longest run of passages: word and character spans, whether
+    the partner comes before in order of id (``later``), and the partner (``other_id``), which has
+    every ``min_words`` consecutive words of the span. Each passage has the first and the last
+    document that has it as partners, others may come besides, and spans of different partners may
+    overlap. Words are runs of ASCII letters and digits and non-ASCII characters, compared without
+    ASCII case. Null and short texts have no rows; equal rows count as one document; further columns
+    are ignored. Repeats within one document alone are not reported.
     """
     spark = docs.sparkSession
     suffixes = table(anchors(docs, min_words), "suffixes")
@@ -327,7 +336,9 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     Documents without a word left are dropped if something was cut; all others stay as they are.
     """
-    cut = table(repeats(docs, min_words).where("later").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("cut")), "cut")
+    spans = islands(repeats(docs, min_words).where("later").select("uid", "start_char", "end_char"), ["uid"], "start_char", "end_char", 0)
+    spans = spans.groupBy("uid", "island").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
+    cut = table(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("cut")), "cut")
     free(docs.sparkSession)
     key, spans = free_name(docs, "uid"), free_name(docs, "cut")
     cut = cut.select(F.col("uid").alias(key), F.col("cut").alias(spans))
