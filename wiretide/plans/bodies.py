@@ -9,6 +9,7 @@ from ..functions import protocols as N
 from ..functions import text as X
 from ..operators import endpoints as P
 from ..operators import filters, pairing, report
+from ..sources import frames as R
 from ..sources.captures import tables
 from .registry import query
 
@@ -214,6 +215,52 @@ def prepared_statements(spark, sf_dir):
     return pairing.prepared(own, ["user_id", "statement_id"], [F.asc("ts"), F.asc("event_id")], "event_id").select("event_id", "statement")
 
 
+def _le(value, size):
+    """A number as little-endian hex digits."""
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    return F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(size)))
+
+
+_KIND = "list_extract(['conn_start', 'conn_end', 'tcp_data', 'tls_data', 'dns', 'sqlite'], CAST(o_orderkey % 6 AS INTEGER) + 1)"
+
+
+@query(
+    f"""WITH o AS (SELECT *, o_orderkey % 6 AS k, o_orderkey % 11 <> 0 AS fine, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, ':' || (o_orderkey % 60000) AS sport FROM orders)
+ SELECT o_custkey, CAST(n AS INTEGER) AS ordinal, CASE WHEN NOT fine THEN 'version' END AS fault, CASE WHEN fine THEN {_KIND} END AS kind, CASE WHEN fine THEN o_custkey END AS tgid, CASE WHEN fine THEN 'c' || o_orderkey END AS comm,
+ CASE WHEN fine THEN CASE WHEN k IN (0, 4) THEN '10.0.0.1' || sport WHEN k = 2 THEN '[2001:db8::' || lower(hex(o_custkey % 60000 + 1)) || ']' || sport END END AS src, CASE WHEN fine THEN CASE k WHEN 0 THEN '10.0.' || (o_custkey // 256 % 256) || '.' || (o_custkey % 256) || ':443' WHEN 2 THEN '10.0.0.9:80' WHEN 4 THEN '8.8.8.8:53' END END AS dst,
+ CASE WHEN fine AND k IN (0, 1, 2) THEN o_orderkey END AS sock_id, CASE WHEN fine AND k IN (2, 3, 4) THEN 1000 + o_orderkey % 7 END AS total_bytes, CASE WHEN fine AND k = 1 THEN o_custkey * 4294967296 END AS bytes_sent,
+ CASE WHEN fine AND k IN (2, 3, 4) THEN o_orderpriority END AS data, CASE WHEN fine AND k = 5 THEN 'SELECT ' || o_orderpriority END AS sql FROM o"""
+)
+def binary_frames(spark, sf_dir):
+    """Each customer's orders as frames of every kind in one blob; some have another version."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    key, customer, text = F.col("o_orderkey"), F.col("o_custkey"), F.hex(F.encode("o_orderpriority", "UTF-8"))
+    sport, size, total = _le(key % 60000, 2), (F.length(text) / 2).cast("long"), F.lit(1000) + key % 7
+    zeros = lambda n: F.lit("00" * n)
+    ip4 = lambda digits: F.concat(digits, zeros(12))
+    own = ip4(F.lit("0A000001"))
+    own6 = F.concat(F.lit("20010DB8"), zeros(10), F.lpad(F.hex(customer % 60000 + 1), 4, "0"))
+    sql = F.concat(F.hex(F.lit("SELECT ")), text, F.lit("0058"))
+    payloads = [
+        F.concat(F.lit("06020000"), sport, F.lit("01BB"), own, ip4(F.concat(F.lit("0A00"), F.lpad(F.hex(customer % 65536), 4, "0"))), _le(key, 8)),
+        F.concat(_le(key, 8), _le(customer * F.lit(1 << 32), 8), zeros(16)),
+        F.concat(F.lit("06010A00"), sport, F.lit("0050"), own6, zeros(10), F.lit("FFFF0A000009"), _le(key, 8), _le(total, 4), _le(size, 4), text),
+        F.concat(F.lit("0100"), zeros(6), _le(key, 8), F.lit("FFFFFFFF"), _le(total, 4), _le(size, 4), zeros(4), text),
+        F.concat(F.lit("00020000"), sport, _le(F.lit(53), 2), own, ip4(F.lit("08080808")), _le(total, 2), _le(size, 2), text),
+        F.concat(F.lit("01"), zeros(7), _le(key, 8), F.lit("FFFFFFFF"), _le(F.length(sql) / 2, 4), sql),
+    ]
+    kinds = [1, 2, 3, 4, 5, 8]
+    pick = lambda of: F.get(F.array(*of), (key % 6).cast("int"))
+    payload = pick(payloads)
+    comm = F.rpad(F.hex(F.encode(F.concat(F.lit("c"), key.cast("string")), "UTF-8")), 32, "0")
+    head = F.concat(F.when(key % 11 == 0, "02").otherwise("01"), _le(pick([F.lit(k) for k in kinds]), 1), zeros(2), _le(F.length(payload) / 2 + R.HEADER, 4), zeros(8), _le(key, 8), zeros(4), _le(customer, 4), zeros(24), comm)
+    made = orders.select("o_custkey", "o_orderkey", F.concat(head, payload).alias("digits"))
+    pieces = F.array_sort(F.collect_list(F.struct("o_orderkey", "digits")))
+    blobs = made.groupBy("o_custkey").agg(F.unhex(F.array_join(F.transform(pieces, lambda x: x["digits"]), "")).alias("content"))
+    told = R.decoded(R.split(blobs)).select("o_custkey", "ordinal", "fault", "event.*")
+    return told.select("o_custkey", "ordinal", "fault", "kind", "tgid", "comm", "src", "dst", F.col("sock_id").cast("long").alias("sock_id"), "total_bytes", F.col("bytes_sent").cast("long").alias("bytes_sent"), F.unbase64("data_b64").cast("string").alias("data"), "sql")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 6")
 def top_protocols(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
