@@ -9,6 +9,7 @@ from ..functions import protocols as N
 from ..functions import text as X
 from ..operators import endpoints as P
 from ..operators import filters, pairing, report
+from ..sources import files
 from ..sources import frames as R
 from ..sources.captures import tables
 from .registry import query
@@ -261,6 +262,24 @@ def binary_frames(spark, sf_dir):
     return told.select("o_custkey", "ordinal", "fault", "kind", "tgid", "comm", "src", "dst", F.col("sock_id").cast("long").alias("sock_id"), "total_bytes", F.col("bytes_sent").cast("long").alias("bytes_sent"), F.unbase64("data_b64").cast("string").alias("data"), "sql")
 
 
+@query(
+    """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_custkey, o_orderkey || ' ' || o_orderpriority AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 2 - 1 AS line_no FROM orders)
+ SELECT path, line_no, line, CAST(NULL AS VARCHAR) AS broken FROM o UNION ALL SELECT path, max(line_no) + 2, NULL, 'gzip' FROM o WHERE o_custkey % 3 = 1 AND o_custkey % 10 = 7 GROUP BY path"""
+)
+def sniffed_files(spark, sf_dir):
+    """Each customer's orders as lines of a file: plain, gzip (stored, some without its end) or zstandard (raw blocks)."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    pieces = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("line"))))
+    text = F.encode(F.array_join(F.transform(pieces, lambda x: F.concat(x["line"], F.lit("\n\n"))), ""), "UTF-8")
+    made = orders.groupBy("o_custkey").agg(text.alias("text"))
+    key, size = F.col("o_custkey"), F.octet_length("text")
+    end = F.when(key % 10 == 7, "").otherwise(F.concat(_le(F.crc32("text"), 4), _le(size, 4)))
+    gzip = F.concat(F.lit("1F8B08000000000000FF01"), _le(size, 2), _le(65535 - size, 2), F.hex("text"), end)
+    zstd = F.concat(F.lit("28B52FFDA0"), _le(size, 4), _le(size * 8 + 1, 3), F.hex("text"))
+    packed = F.when(key % 3 == 1, F.unhex(gzip)).when(key % 3 == 2, F.unhex(zstd)).otherwise(F.col("text"))
+    return files.lines(made.select(key.cast("string").alias("path"), packed.alias("content")))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 6")
 def top_protocols(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
