@@ -135,6 +135,30 @@ def s3_operation(method: Column, has_key: Column) -> Column:
     )
 
 
+#: Fixed value: most characters of an object's key that are kept.
+LONGEST_KEY = 512
+
+
+def s3_object(host: Column, path: Column) -> Column:
+    """``bucket`` and ``key`` of an S3 request; both null where the path names no bucket and the host doesn't either.
+
+    The bucket stands before ``.s3.`` in the host, or comes first in the path; the key is the rest of
+    the path, empty for a bucket by itself.
+    """
+    h, rest = F.lower(host), F.regexp_replace(F.coalesce(path, F.lit("")), "^/+", "")
+    hosted = F.nullif(F.regexp_extract(h, r"^(.+?)\.s3\.", 1), F.lit(""))
+    first = F.nullif(F.substring_index(rest, "/", 1), F.lit(""))
+    bucket = F.coalesce(hosted, first)
+    key = F.when(hosted.isNotNull(), rest).otherwise(F.regexp_replace(rest, "^[^/]*/?", ""))
+    return F.struct(bucket.alias("bucket"), F.when(bucket.isNotNull(), F.left(key, F.lit(LONGEST_KEY))).alias("key"))
+
+
+def sigv4_scope(authorization: Column) -> Column:
+    """``key_id``, ``region`` and ``service`` that a request is signed for; null fields where it isn't signed."""
+    part = lambda k: F.nullif(F.regexp_extract(authorization, r"^AWS4-HMAC-SHA256(?:.*,)?\s*Credential=([^/,]*)/[^/,]*/([^/,]*)/([^/,]*)", k), F.lit(""))
+    return F.struct(part(1).alias("key_id"), part(2).alias("region"), part(3).alias("service"))
+
+
 def graphql_kind(body: Column) -> Column:
     """query, mutation or subscription of a GraphQL request body; null for other bodies."""
     text = F.trim(F.regexp_replace(F.get_json_object(body, "$.query"), r"#[^\n]*", ""))
@@ -148,6 +172,13 @@ def graphql_name(body: Column) -> Column:
     return F.when(name != "", name)
 
 
+def graphql_field(body: Column) -> Column:
+    """The first field of a GraphQL request's outermost selection; null for other bodies, and where a fragment comes first."""
+    text = F.regexp_replace(F.get_json_object(body, "$.query"), r"#[^\n]*", "")
+    field = F.regexp_extract(text, r"^[\s,]*(?:(?:query|mutation|subscription)\b[^{]*)?\{[\s,]*([A-Za-z_][A-Za-z0-9_]*)", 1)
+    return F.nullif(field, F.lit(""))
+
+
 def container_runtime(cgroup: Column) -> Column:
     return (
         F.when(cgroup.rlike(r"kubepods.*cri-containerd-[0-9a-f]{64}"), "containerd")

@@ -280,6 +280,33 @@ def sniffed_files(spark, sf_dir):
     return files.lines(made.select(key.cast("string").alias("path"), packed.alias("content")))
 
 
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN CASE WHEN p_partkey % 3 > 0 THEN 'docs' END ELSE 'b' || p_size END AS bucket, CASE WHEN p_partkey % 4 = 3 AND p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN p_name || '/x' ELSE repeat('k', 512) END AS key,
+ CASE WHEN p_partkey % 2 = 0 THEN 'AKIA' || p_partkey END AS key_id, CASE WHEN p_partkey % 2 = 0 THEN 'eu-west-' || (p_size % 3) END AS region, CASE WHEN p_partkey % 2 = 0 THEN 's3' END AS service FROM part"""
+)
+def s3_objects(spark, sf_dir):
+    """Requests for objects and buckets: named by host in two ways, or by path in two ways, half of them signed."""
+    (part,) = tables(spark, sf_dir, "part")
+    key, bucket = F.col("p_partkey"), F.concat(F.lit("b"), F.col("p_size").cast("string"))
+    rest = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat("p_name", F.lit("/x"))).otherwise(F.repeat(F.lit("k"), 600))
+    host = F.when(key % 4 == 0, F.concat(F.upper(bucket), F.lit(".s3.amazonaws.com"))).when(key % 4 == 1, F.concat(bucket, F.lit(".s3.eu-west-1.amazonaws.com"))).otherwise("s3.amazonaws.com")
+    path = F.when(key % 4 <= 1, F.concat(F.lit("/"), rest)).when(key % 4 == 2, F.concat(F.lit("/"), bucket, F.when(rest == "", "").otherwise(F.concat(F.lit("/"), rest)))).when(key % 3 > 0, F.concat(F.lit("//docs/"), rest)).otherwise("/")
+    signed = F.concat(F.lit("AWS4-HMAC-SHA256 Credential=AKIA"), key.cast("string"), F.lit("/20240101/eu-west-"), (F.col("p_size") % 3).cast("string"), F.lit("/s3/aws4_request, SignedHeaders=host"))
+    found = part.select("p_partkey", C.s3_object(host, path).alias("o"), C.sigv4_scope(F.when(key % 2 == 0, signed).otherwise("Bearer x")).alias("s"))
+    return found.select("p_partkey", "o.*", "s.*")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN 'f' || o_custkey END AS field, CASE o_orderkey % 5 WHEN 1 THEN 'mutation' WHEN 4 THEN NULL ELSE 'query' END AS kind FROM orders")
+def graphql_fields(spark, sf_dir):
+    """Shorthand, named and commented operations, one that begins with a fragment, and bodies that are none."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    key, field = F.col("o_orderkey"), F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
+    text = F.when(key % 5 == 0, F.concat(F.lit("{ , "), field, F.lit("(id: 1) { name } }"))).when(key % 5 == 1, F.concat(F.lit("mutation Add($x: Int) @live {\n"), field, F.lit(" other }")))
+    text = text.when(key % 5 == 2, F.concat(F.lit("# { no }\nquery Get { # {\n"), field, F.lit("}"))).when(key % 5 == 3, "query { ...Part }")
+    body = F.when(key % 5 == 4, F.concat(F.lit('{"text": "{ '), field, F.lit(' }"}'))).otherwise(F.to_json(F.struct(text.alias("query"))))
+    return orders.select("o_orderkey", C.graphql_field(body).alias("field"), C.graphql_kind(body).alias("kind"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 6")
 def top_protocols(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
