@@ -1,6 +1,7 @@
 """Flow state in batches and streams, and the catalogue that grows by parts."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -130,6 +131,32 @@ def test_merged_quantiles_keep_their_rank(spark):
         assert r["n"] == mine.count() and all(abs(got - want) < 0.002 for got, want in zip(below, ranks, strict=True))
 
 
+def test_quantiles_are_exact_beyond_a_sketch(spark):
+    """20,000 skewed values of a key and more, null keys, NaN, nulls; a sketch of other values changes nothing."""
+    rng = random.Random(8)
+    rows = [(k, rng.randint(0, 40), round(rng.expovariate(0.01), 2)) for k, n in (("hot", 20_000), (None, 9_000), ("few", 3)) for _ in range(n)]
+    rows += [("few", 1, None), ("none", 1, None), ("odd", 1, float("nan")), ("hot", 2, float("nan"))]
+    own = spark.createDataFrame(rows, "k string, part int, v double").repartition(6)
+    counts = catalogue.counted(own, ["k"], "v")
+    sketches = catalogue.merged_sketches(catalogue.sketched(own, ["k", "part"], "v"), ["k"])
+    other = catalogue.sketched(own.withColumn("v", F.col("v") % 7 + 300), ["k"], "v")
+    ranks = (0.001, 0.5, 0.9, 0.99)
+    values = {k: sorted((v for x, _, v in rows if x == k and v is not None), key=lambda v: (math.isnan(v), v)) for k in ("hot", None, "few", "odd")}
+    want = {k: [str(v[max(1, -(-len(v) * round(1000 * r) // 1000)) - 1]) for r in ranks] for k, v in values.items()}
+    for known in (sketches, other, sketches.limit(0)):
+        got = {r[0]: [str(x) for x in r[1:]] for r in catalogue.exact_quantiles(counts, known, ["k"], "v", *ranks).collect()}
+        assert got == want
+
+
+def test_latencies_of_a_busy_endpoint_are_exact(spark):
+    rng = random.Random(9)
+    took = [rng.lognormvariate(3, 1) for _ in range(12_000)]
+    own = requests(spark.createDataFrame([("http://h/a", i, 200, x, 1, 1) for i, x in enumerate(took)], CALLS))
+    (r,) = catalogue.endpoints(catalogue.merged(*(catalogue.part(own.where(F.col("ts") % 3 == k)) for k in range(3)))).collect()
+    took.sort()
+    assert (r["p50"], r["p99"]) == (took[5999], took[11879])
+
+
 def test_a_lost_writer_loses_nothing(spark, tmp_path):
     place, own = str(tmp_path / "catalogue"), requests(calls(spark, 400)).cache()
     first, second = own.where("ts < 200"), own.where("ts >= 200")

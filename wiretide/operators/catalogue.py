@@ -2,14 +2,16 @@
 
 A part has a table per kind of fact, each keyed by endpoint (host and shape). Merging two parts is one
 more aggregation over their union, so parts may come in any number and order. Distinct values are HLL
-sketches and latencies KLL sketches: no key's values meet in one row.
+sketches. Latencies are counts of each value, which give exact quantiles, and KLL sketches, which say where
+in them to look: no key's values meet in one row.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import PLACEHOLDERS, SECRET_KEY, narrowest, segment_class, value_kinds
@@ -18,6 +20,8 @@ from ..functions.text import url_decoded
 KEYS = ["host", "shape"]
 #: KLL's k: a rank is off by less than 0.1 % (at 99 % confidence), and nothing is lost while a key has at most so many values.
 KLL_K = 4096
+#: How far in rank from a quantile its exact value is looked for first.
+NEAR = 0.002
 HLL_BITS = 12
 KINDS = ["integer", "number", "boolean", "uuid"]
 
@@ -39,6 +43,37 @@ def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(KLL_K)).alias("sketch"))
 
 
+def counted(records: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How often each value of a key occurs (null too); counts of parts merge by their sum."""
+    return records.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(counts: DataFrame, sketches: DataFrame, keys: list[str], value: str, *ranks: float) -> DataFrame:
+    """keys and q0, q1, ...: the least value that such a share of a key's values doesn't exceed, as SQL's quantile_disc.
+
+    ``counts`` as ``counted`` gives it, ``sketches`` with each key's KLL sketch. The sketch only cuts a key's values into
+    stretches, narrow ones around the ranks; the stretches are counted and the one that holds a rank is ranked. A sketch
+    that is off makes that stretch longer, never the result another. Nulls don't count.
+    """
+    edges = sorted({min(max(r + d, 0.0), 1.0) for r in ranks for d in (-NEAR, NEAR)})
+    known = F.kll_sketch_get_n_double("sketch") > 0  # NaN is in no sketch
+    cuts = sketches.select(F.struct(*keys).alias("of"), *(F.when(known, q).alias(f"cut{i}") for i, q in enumerate(quantiles(F.col("sketch"), *edges))))
+    own = counts.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("key"), F.col(value).alias("value"), "n")
+    stretch = sum((F.coalesce(F.col("value") > F.col(f"cut{i}"), F.lit(False)).cast("int") for i in range(len(edges))), F.lit(0))
+    placed = own.join(cuts, F.col("key").eqNullSafe(F.col("of")), "left").select("key", "value", "n", stretch.alias("stretch"))
+    lengths = placed.groupBy("key", "stretch").agg(F.sum("n").alias("n"))
+    of_key = Window.partitionBy("key")
+    before = F.coalesce(F.sum("n").over(of_key.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = lengths.select("key", "stretch", "n", before.alias("before"), F.sum("n").over(of_key).alias("total"))
+    places = [F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(F.col("total").cast("decimal(20,0)") * F.lit(Decimal(str(r)))).cast("long")).alias("place")) for i, r in enumerate(ranks)]
+    wanted = lengths.select(F.col("key").alias("of"), F.col("stretch").alias("at"), "n", "before", F.explode(F.array(*places)).alias("p"))
+    wanted = wanted.where((F.col("before") < F.col("p.place")) & (F.col("p.place") <= F.col("before") + F.col("n"))).select("of", "at", "p.i", (F.col("p.place") - F.col("before")).alias("place"))
+    near = placed.join(wanted, F.col("key").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
+    upto = F.sum("n").over(Window.partitionBy("key", "i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    fine = near.select("key", "value", "i", (upto >= F.col("place")).alias("fine")).where("fine")
+    return fine.groupBy("key").agg(*(F.min(F.when(F.col("i") == i, F.col("value"))).alias(f"q{i}") for i in range(len(ranks)))).select("key.*", *(f"q{i}" for i in range(len(ranks))))
+
+
 def part(calls: DataFrame) -> Part:
     """Facts of calls: host, shape, segments and query as ``endpoints.requests`` gives them, ts, status, latency and both sizes.
 
@@ -55,6 +90,7 @@ def part(calls: DataFrame) -> Part:
         "endpoints": calls.groupBy(*KEYS).agg(F.count("*").alias("calls"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), *sums),
         "statuses": calls.where("status is not null").groupBy(*KEYS, "status").agg(F.count("*").alias("n")),
         "latencies": sketched(calls, KEYS, "latency"),
+        "latency_counts": counted(calls.where("latency is not null"), KEYS, "latency"),
         "segments": spot.groupBy(*KEYS, "pos").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), distinct),
         "params": named.groupBy(*KEYS, "name").agg(F.count("*").alias("n"), *(F.bool_and(x).alias(k) for k, x in value_kinds(F.col("value")).items()), F.max("value").alias("example"), distinct),
     }
@@ -71,6 +107,7 @@ def merged(*parts: Part) -> Part:
         "endpoints": all_["endpoints"].groupBy(*KEYS).agg(*total("calls"), low("first_seen"), high("last_seen"), *sums),
         "statuses": all_["statuses"].groupBy(*KEYS, "status").agg(*total("n")),
         "latencies": merged_sketches(all_["latencies"], KEYS),
+        "latency_counts": all_["latency_counts"].groupBy(*KEYS, "latency").agg(*total("n")),
         "segments": all_["segments"].groupBy(*KEYS, "pos").agg(*total("n"), low("low"), high("high"), distinct),
         "params": all_["params"].groupBy(*KEYS, "name").agg(*total("n"), *(F.bool_and(k).alias(k) for k in KINDS), high("example"), distinct),
     }
@@ -86,9 +123,9 @@ def endpoints(own: Part) -> DataFrame:
     template = F.coalesce(F.array_join(F.transform("parts", lambda p: F.concat(F.lit("/"), p["s"])), ""), F.lit("/"))
     statuses = own["statuses"].groupBy(*KEYS).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("statuses"))
     mean = lambda side: F.when(F.col(f"{side}_bodies") > 0, F.floor(F.col(f"{side}_bytes") / F.col(f"{side}_bodies"))).otherwise(0).cast("long").alias(f"avg_{side}_bytes")
-    p50, p99 = quantiles(F.col("sketch"), 0.5, 0.99)
-    whole = own["endpoints"].join(parts, KEYS, "left").join(statuses, KEYS, "left").join(own["latencies"].select(*KEYS, "sketch"), KEYS, "left")
-    return whole.select(*KEYS, template.alias("template"), "calls", "first_seen", "last_seen", mean("request"), mean("response"), "statuses", p50.alias("p50"), p99.alias("p99"))
+    latency = exact_quantiles(own["latency_counts"], own["latencies"], KEYS, "latency", 0.5, 0.99)
+    whole = own["endpoints"].join(parts, KEYS, "left").join(statuses, KEYS, "left").join(latency, KEYS, "left")
+    return whole.select(*KEYS, template.alias("template"), "calls", "first_seen", "last_seen", mean("request"), mean("response"), "statuses", F.col("q0").alias("p50"), F.col("q1").alias("p99"))
 
 
 def params(own: Part) -> DataFrame:
@@ -135,7 +172,7 @@ def load(spark: SparkSession, path: str, before: int | None = None) -> Part | No
     known = [v for v in versions(spark, path) if before is None or v < before]
     if not known:
         return None
-    return {name: spark.read.parquet(f"{path}/v{known[-1]}/{name}") for name in ("endpoints", "statuses", "latencies", "segments", "params")}
+    return {name: spark.read.parquet(f"{path}/v{known[-1]}/{name}") for name in ("endpoints", "statuses", "latencies", "latency_counts", "segments", "params")}
 
 
 def fold(calls: DataFrame, batch: int, path: str) -> None:
