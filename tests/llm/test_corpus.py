@@ -393,6 +393,25 @@ def test_language_models(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+def test_calibration_reads_every_training_text(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = [(lang := rng.choice(["a", "b"]), "".join(rng.choice("abcd" if lang == "a" else "cdefgh ") for _ in range(rng.randint(1, 12))) + "c") for _ in range(5000)]
+    rows += [("a", "..."), ("b", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model, other = langid.learn(docs.repartition(5)), langid.learn(docs.coalesce(1))
+    assert (model.scale, model.limit) == (other.scale, other.limit)
+    found = model.entropies(langid.Grams(pa.array([x for _, x in rows[:5000]])))
+    true = np.array([model.langs.index(x) for x, _ in rows[:5000]])
+    for i, lang in enumerate(model.langs):
+        own = found[true == i, i]
+        assert abs(model.limit[lang] - (own.mean() + 4 * own.std() + 0.1)) < 1e-5
+    fit = [np.mean(np.log(np.exp(-s * found)[np.arange(5000), true] / np.exp(-s * found).sum(axis=1))) for s in langid.SCALES]
+    assert model.scale == langid.SCALES[int(np.argmax(fit))]
+
+
 def test_probabilities_sum_to_one(spark):
     import numpy as np
 

@@ -23,8 +23,10 @@ ORDER = 4
 HASH_BITS = 22
 #: N-grams whose log probabilities a Python worker keeps.
 MOST_KNOWN = 1 << 20
-#: Texts on which scale and rejection are calibrated.
-CALIBRATION = 2000
+#: Scales of which calibration takes the likeliest.
+SCALES = (1, 2, 4, 8, 16, 32)
+#: Calibration sums whole multiples of 1 / UNIT, so that no order of the texts changes a sum.
+UNIT = 1 << 20
 SPACE = 32
 _SYMBOL: np.ndarray | None = None
 
@@ -212,39 +214,38 @@ def learn(rows: DataFrame) -> Model:
     return model
 
 
-def calibrate(model: Model, rows: DataFrame, size: int = CALIBRATION) -> None:
-    """Scale of scores and rejection limits from a bounded number of training texts."""
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Scale of scores and rejection limits from all training texts; a task sends sums by language only."""
     held = rows.sparkSession.sparkContext.broadcast(model)
+    names = ["n", "one", "two", *(f"fit{k}" for k in range(len(SCALES)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Model = held.value
+        sums = np.zeros((len(now.langs), len(names)), np.int64)
         for batch in batches:
             for own in slices(batch):
                 got = Grams(own.column(1))
-                found = held.value.entropies(got)
-                keep = got.letters > 0
-                lists = pa.array(found[keep].tolist(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([own.column(0).filter(pa.array(keep)), lists], names=["lang", "entropy"])
+                keep = np.flatnonzero(got.letters > 0)
+                found, true = now.entropies(got)[keep], np.array([now.langs.index(x) for x in own.column(0).take(pa.array(keep)).to_pylist()], np.int64)
+                each = np.arange(len(true))
+                mine, best = found[each, true], found - found.min(axis=1, keepdims=True)
+                parts = [np.ones(len(true)) / UNIT, mine, mine**2]
+                for scale in SCALES:
+                    p = np.exp(-scale * best)
+                    parts.append(np.log(np.maximum(p[each, true] / p.sum(axis=1), 1e-12)))
+                np.add.at(sums, true, np.rint(np.stack(parts, axis=1) * UNIT).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(now.langs, pa.string()), *(pa.array(sums[:, k]) for k in range(len(names)))], names=["lang", *names])
 
     if not model.langs:
         return
-    keys = rows.select(F.xxhash64("lang", "text").alias("key"))
-    least = keys.orderBy("key").limit(size).agg(F.max("key")).first()[0]
-    chosen = rows.where(F.xxhash64("lang", "text") <= least).limit(10 * size)
-    got = chosen.mapInArrow(run, "lang string, entropy array<double>").collect()
-    if not got:
-        return
-    found = np.array([r[1] for r in got])
-    true = np.array([model.langs.index(r[0]) for r in got])
-    best, fit = found - found.min(axis=1, keepdims=True), []
-    scales = [1, 2, 4, 8, 16, 32]
-    for scale in scales:
-        p = np.exp(-scale * best)
-        fit.append(np.log(np.maximum((p / p.sum(axis=1, keepdims=True))[np.arange(len(true)), true], 1e-12)).mean())
-    model.scale = float(scales[int(np.argmax(fit))])
-    for i, lang in enumerate(model.langs):
-        own = found[true == i, i]
-        if len(own) >= 5:
-            model.limit[lang] = float(own.mean() + 4 * own.std() + 0.1)
+    parts = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, " + ", ".join(f"{x} long" for x in names))
+    got = {r["lang"]: np.array([int(r[x]) for x in names], np.float64) for r in parts.groupBy("lang").agg(*(F.sum(F.col(x).cast("decimal(20,0)")).alias(x) for x in names)).collect()}
+    if sum(x[0] for x in got.values()):
+        model.scale = float(SCALES[int(np.argmax(sum(x[3:] for x in got.values())))])
+    for lang, (n, one, two, *_) in got.items():
+        if n >= 5:
+            mean = one / UNIT / n
+            model.limit[lang] = float(mean + 4 * np.sqrt(max(two / UNIT / n - mean**2, 0.0)) + 0.1)
     held.unpersist()
 
 
