@@ -165,6 +165,24 @@ def test_json_bodies(spark):
     assert fields == {("name", "string"), ("age", "integer"), ("note", "string")}
 
 
+def _bodies_of_all_kinds(spark):
+    rows = ['{"a":{"b":[{"c":1},{"c":"x"}],"token":{"y":1}},"e":{},"f":[]}', "{}", "[[],[2]]", "null", "[" * 9 + "]" * 9, "no", None]
+    return spark.createDataFrame([(None, r) for r in rows], "k string, body string")
+
+
+def test_json_tree_reads_its_source_once(spark):
+    from wiretide.operators import endpoints
+
+    tree = endpoints.json_schema_tree(endpoints.json_nodes(_bodies_of_all_kinds(spark), ["k"], "body"), ["k"])
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    # All nodes are shuffled as counts by text, before anything sorts them.
+    assert "Sort" not in plan[plan.rindex("Exchange") :]
+    got = {r["path"]: (r["type"], r["samples"], r["required"], r["example"]) for r in tree.collect()}
+    # The key is null: such bodies are an endpoint, too.
+    assert got["$.a"] == ("object", 1, False, None) and got["$.a.b"] == ("array", 1, True, None) and got["$.a.b[].c"] == ("integer", 2, True, "x") and got["$.a.token"] == ("string", 1, True, "<redacted>")
+
+
 def test_sizes_and_durations():
     assert [X.size_of(t) for t in ("10", "10k", "1.5G", "2 MiB", "7b")] == [10, 10240, 1610612736, 2097152, 7]
     assert [X.seconds_of(t) for t in ("30s", "5m", "1h 30m", "250ms")] == [30, 300, 5400, 0.25]

@@ -138,24 +138,36 @@ def variant_type(value: Column) -> Column:
     )
 
 
+_HOLDER = "struct<parent: string, path: string, type: string>"
+
+
 def json_nodes(records: DataFrame, keys: list[str], body: str, depth: int = 8) -> DataFrame:
     """Every value in JSON bodies: its path (``$.a.b``, ``$.tags[]``), its parent's path, type and text.
 
     Bodies that are no JSON have no rows. Values of secret names count as strings and are hidden,
-    with what they hold. ``depth`` bounds the levels, the body being the first; each level is one step of the
-    plan over the containers of the level above.
+    with what they hold. ``depth`` bounds the levels, the body being the first. A body is parsed once: each level replaces
+    the containers among the rows by what they hold, and the first row of a container carries it (``above``) to the end.
     """
-    level = records.select(*keys, F.lit(None).cast("string").alias("parent"), F.lit("$").alias("path"), F.try_parse_json(body).alias("value"), F.lit(False).alias("secret")).where("value is not null")
-    parts = []
-    for _ in range(depth):
-        kind = F.when(F.col("secret"), "string").otherwise(variant_type(F.col("value")))
-        text = F.when(F.col("secret"), "<redacted>").otherwise(F.try_variant_get("value", "$", "string"))
-        parts.append(level.select(*keys, "parent", "path", kind.alias("type"), F.when(kind.isin("object", "array"), None).otherwise(text).alias("raw")))
-        inner = level.where(~F.col("secret") & F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select(*keys, "path", "value")
-        child = inner.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "item"))
-        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "key"))
-        level = child.select(*keys, F.col("path").alias("parent"), path.alias("path"), F.col("item").alias("value"), F.coalesce(F.col("key").rlike(SECRET_KEY), F.lit(False)).alias("secret"))
-    return reduce(DataFrame.unionByName, parts)
+    level = records.select(*keys, F.try_parse_json(body).alias("value"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(False).alias("secret"), F.lit(None).cast(f"array<{_HOLDER}>").alias("above"))
+    for _ in range(depth - 1):
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("value").outer()).toDF("pos", "key", "item"))
+        inner = inner.withColumn("hide", F.coalesce(F.col("key").rlike(SECRET_KEY), F.lit(False)))
+        stays, member = F.col("pos").isNull(), F.col("key").isNotNull()
+        holder = F.array(F.struct("parent", "path", F.when(member, "object").otherwise("array").alias("type")))
+        level = inner.select(
+            *keys,
+            F.when(stays, F.col("value")).when(~F.col("hide"), F.col("item")).alias("value"),
+            F.when(stays, F.col("path")).when(member, F.concat("path", F.lit("."), "key")).otherwise(F.concat("path", F.lit("[]"))).alias("path"),
+            F.when(stays, F.col("parent")).otherwise(F.col("path")).alias("parent"),
+            F.when(stays, F.col("secret")).otherwise(F.col("hide")).alias("secret"),
+            F.when(stays, F.col("above")).when(F.col("pos") == 0, F.when(F.col("above").isNull(), holder).otherwise(F.concat("above", holder))).alias("above"),
+        )
+    own = F.array(F.lit(None).cast(_HOLDER))
+    each = level.where("secret or value is not null").withColumn("up", F.explode_outer(F.when(F.col("above").isNull(), own).otherwise(F.concat("above", own))))
+    holds = F.col("up").isNotNull()
+    typed = each.withColumn("type", F.when(holds, F.col("up.type")).when(F.col("secret"), "string").otherwise(variant_type(F.col("value"))))
+    text = F.when(holds | F.col("type").isin("object", "array"), None).when(F.col("secret"), "<redacted>").otherwise(F.try_variant_get("value", "$", "string"))
+    return typed.select(*keys, *(F.when(holds, F.col(f"up.{c}")).otherwise(F.col(c)).alias(c) for c in ("parent", "path")), "type", text.alias("raw"))
 
 
 def json_schema_tree(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,15 +175,20 @@ def json_schema_tree(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
     A member is required if it is in every object at its parent's path; items of arrays and the body aren't.
     A string is an enum with at least five samples and 2 to 20 values. Examples are at
-    most 64 characters, and those that look like tokens are hidden.
+    most 64 characters, and those that look like tokens are hidden. The nodes are read once: they are counted by
+    text first, which needs no sort, and all else comes from these counts.
     """
-    votes = nodes.groupBy(*keys, "parent", "path", "type").agg(F.count("*").alias("votes"), F.max("raw").alias("top"))
+    seen = nodes.groupBy(*keys, "parent", "path", "type", "raw").agg(F.count("*").alias("n"))
+    votes = seen.groupBy(*keys, "parent", "path", "type").agg(F.sum("n").alias("votes"), F.max("raw").alias("top"), F.count("raw").alias("values"), F.sum(F.when(F.col("raw").isNotNull(), F.col("n"))).alias("texts"))
+    of = lambda kind, column: F.sum(F.when(F.col("type") == kind, F.col(column)))
     best = votes.groupBy(*keys, "parent", "path").agg(
-        F.min_by("type", F.when(F.col("type") != "unknown", F.struct(-F.col("votes"), F.col("type")))).alias("type"), F.sum("votes").alias("samples"), F.max("top").alias("example"), F.sum(F.when(F.col("type") == "object", F.col("votes"))).alias("objects")
+        F.min_by("type", F.when(F.col("type") != "unknown", F.struct(-F.col("votes"), F.col("type")))).alias("type"), F.sum("votes").alias("samples"), F.max("top").alias("example"),
+        of("object", "votes").alias("objects"), of("string", "values").alias("distinct_values"), of("string", "texts").alias("strings"),
     )
-    strings = nodes.where("type = 'string'").groupBy(*keys, "path").agg(F.countDistinct("raw").alias("distinct_values"), F.count("raw").alias("strings"))
-    above = best.select(*keys, F.col("path").alias("parent"), "objects")
-    out = best.drop("objects").join(strings, [*keys, "path"], "left").join(above, [*keys, "parent"], "left")
+    # Each path stands once beside the members of its objects, for their number, and once as the member it is.
+    role = F.array(F.struct(F.col("path").alias("at"), F.lit(False).alias("member")), F.struct(F.col("parent").alias("at"), F.lit(True).alias("member")))
+    beside = Window.partitionBy(*keys, "at")
+    out = best.select("*", F.inline(role)).withColumn("objects", F.sum(F.when(~F.col("member"), F.col("objects"))).over(beside)).where("member")
     enum = (F.col("type") == "string") & (F.col("strings") >= 5) & F.col("distinct_values").between(2, 20)
     required = ~F.col("path").endswith("[]") & (F.col("samples") >= F.col("objects"))
     return out.select(*keys, "path", F.coalesce("type", F.lit("unknown")).alias("type"), "samples", F.coalesce(required, F.lit(False)).alias("required"), F.coalesce(enum, F.lit(False)).alias("is_enum"), shortened(scrubbed(F.col("example")), 64).alias("example"))
