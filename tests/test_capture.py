@@ -183,6 +183,21 @@ def test_json_tree_reads_its_source_once(spark):
     assert got["$.a"] == ("object", 1, False, None) and got["$.a.b"] == ("array", 1, True, None) and got["$.a.b[].c"] == ("integer", 2, True, "x") and got["$.a.token"] == ("string", 1, True, "<redacted>")
 
 
+def test_json_nodes_parse_each_body_once(spark):
+    from collections import Counter
+
+    from wiretide.operators import endpoints
+
+    nodes = endpoints.json_nodes(_bodies_of_all_kinds(spark), ["k"], "body")
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("parseJson") == 1
+    want = [(None, "$", "object", None), ("$", "$.a", "object", None), ("$.a", "$.a.b", "array", None), ("$.a.b", "$.a.b[]", "object", None), ("$.a.b", "$.a.b[]", "object", None), ("$.a.b[]", "$.a.b[].c", "integer", "1"), ("$.a.b[]", "$.a.b[].c", "string", "x")]
+    want += [("$.a", "$.a.token", "string", "<redacted>"), ("$", "$.e", "object", None), ("$", "$.f", "array", None), (None, "$", "object", None), (None, "$", "unknown", None)]
+    want += [(None, "$", "array", None), ("$", "$[]", "array", None), ("$", "$[]", "array", None), ("$[]", "$[][]", "integer", "2")]
+    want += [("$" + "[]" * (n - 1) if n else None, "$" + "[]" * n, "array", None) for n in range(8)]
+    assert Counter(tuple(r)[1:] for r in nodes.collect()) == Counter(want)
+
+
 def test_sizes_and_durations():
     assert [X.size_of(t) for t in ("10", "10k", "1.5G", "2 MiB", "7b")] == [10, 10240, 1610612736, 2097152, 7]
     assert [X.seconds_of(t) for t in ("30s", "5m", "1h 30m", "250ms")] == [30, 300, 5400, 0.25]
